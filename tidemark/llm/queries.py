@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, packing, secret_scan, simhash, substring_dedup
+from tidemark.llm import byte_bpe, exact_dedup, lattice_lm, packing, secret_scan, simhash, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -38,7 +42,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op5_substring_dedup, op6_simhash, op8_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
