@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import byte_bpe, exact_dedup, lattice_lm, packing, secret_scan, simhash, substring_dedup
+from tidemark.llm import byte_bpe, exact_dedup, language_id, lattice_lm, packing, secret_scan, simhash, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -37,12 +37,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
