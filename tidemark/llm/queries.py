@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, exact_dedup, language_id, lattice_lm, packing, secret_scan, simhash, substring_dedup
+from tidemark.llm import ann, byte_bpe, exact_dedup, language_id, lattice_lm, packing, secret_scan, simhash, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -20,6 +21,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op9_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_ann, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op9_language_id, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
