@@ -49,14 +49,14 @@ def in_batches(docs: DataFrame, key: Column, size: int, batch_bytes: int, name:
     return docs.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "left") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "left", small: int = BROADCAST_ROWS) -> DataFrame:
     """left joined with right, which has one row for each key.
 
-    A small right side (its rows are counted here) is broadcast. Of a large one only the keys with a
+    A right side of up to small rows (they are counted here) is broadcast. Of a large one only the keys with a
     thousandth of left's rows or more are broadcast, at most a thousand of them by that definition of
     weight (rows of left with the key); the other rows meet in a shuffled join that has no hot key.
     """
-    if right.count() <= BROADCAST_ROWS:
+    if right.count() <= small:
         return left.join(F.broadcast(right), keys, how)
     hot = right.filter(F.col(weight) * 1000 >= rows)
     cold = right.filter(F.col(weight) * 1000 < rows)

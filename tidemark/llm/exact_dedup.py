@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BROADCAST_ROWS, ascii_lower, cut, join_unique
+from tidemark.llm.common import BROADCAST_ROWS, ascii_lower, cut, join_unique, without
 
 
 class BloomFilter:
@@ -165,3 +165,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"), F.col("sha").alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """docs, all columns as they are, with one row of each group of equal texts.
+
+    Of rows that repeat an id and a text one stays, whichever is read first. Rows without an id stay.
+    """
+    groups = exact_groups(docs, id_col, text_col, keep)
+    kept = groups.filter(F.col("kept") & F.col(id_col).isNotNull())
+    repeats = cut(kept.filter("group_size > 1").groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
+    out = without(docs, groups.filter(~F.col("kept")).select(id_col).distinct(), id_col)
+    if repeats.isEmpty():
+        return out
+    twice = out.join(repeats, id_col, "left_semi").select(*docs.columns)
+    return without(out, repeats, id_col).unionByName(twice.dropDuplicates([id_col]))

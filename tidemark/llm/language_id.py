@@ -219,23 +219,41 @@ def fold_of(id_column, folds: int):
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def labelled(net: Network, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The language and its pooled probability of each text; UNKNOWN and 0 where it is null or has no letter."""
+    known = [t if t is not None and LETTER.search(t) else "" for t in texts]
+    p = document_scores(net, [t.encode() for t in known])
+    best = p.argmax(axis=1)
+    lang = [net.languages[k] if t else UNKNOWN for k, t in zip(best, known, strict=True)]
+    return lang, [min(1.0, float(row[k])) if t else 0.0 for row, k, t in zip(p, best, known, strict=True)]
+
+
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for each row of docs; UNKNOWN and 0 where text is null or has no letter."""
+    """id, lang_pred, score for each row of docs. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 400) for i in range(0, b.num_rows, 400)):
-                texts = [t if t is not None and LETTER.search(t) else "" for t in part.column(1).to_pylist()]
-                p = document_scores(net, [t.encode() for t in texts])
-                best = p.argmax(axis=1)
-                lang = [net.languages[k] if t else UNKNOWN for k, t in zip(best, texts, strict=True)]
-                score = [min(1.0, float(row[k])) if t else 0.0 for row, k, t in zip(p, best, texts, strict=True)]
+                lang, score = labelled(net, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
 
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def identified(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, without the rows whose language is UNKNOWN. No shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 400) for i in range(0, b.num_rows, 400)):
+                lang, _ = labelled(net, part.column(at).to_pylist())
+                yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", folds: int = 5, held_out_fold: int = 0) -> DataFrame:
     """id, held_out, lang_pred, score of whole texts, by a network trained on the labelled rows of docs.
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, byte_bpe, exact_dedup, language_id, lattice_lm, packing, secret_scan, simhash, substring_dedup
+from tidemark.llm import ann, byte_bpe, exact_dedup, html_extract, language_id, lattice_lm, packing, secret_scan, simhash, substring_dedup
 from tidemark.llm.common import table
 
 
@@ -25,6 +26,10 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,8 +55,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_ann, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op9_language_id, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_ann, op4_html_extract, op5_substring_dedup, op6_simhash, op7_lattice_lm, op8_packing, op9_language_id, op10_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

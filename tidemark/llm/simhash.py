@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, join_unique
+from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, join_unique, without
 from tidemark.llm.components import connected
 
 SEED = 42
@@ -227,3 +227,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.coalesce("component", "id").alias("component_id"),
     )
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns as they are, with the smallest id of each near-duplicate group; rows without an id stay."""
+    groups = near_groups(docs, id_col, text_col)
+    return without(docs, groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col)
