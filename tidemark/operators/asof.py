@@ -39,10 +39,10 @@ def after(column: str, as_of: Column, lookback: str) -> Column:
     return F.col(column) > as_of - F.expr(f"interval {lookback}")
 
 
-def at_dates(facts: DataFrame, dates: DataFrame, key: Sequence[str]) -> DataFrame:
-    """latest_version at each as_of of dates (a parameter table), in one plan."""
-    joined = facts.join(F.broadcast(dates.select("as_of")), F.col("available_at") <= F.col("as_of"))
-    return first_by(joined, ["as_of", *key], [F.desc(c) for c in NEWEST])
+def at_dates(facts: DataFrame, dates: Sequence[Column], key: Sequence[str]) -> DataFrame:
+    """latest_version at each of a few as_of parameters, in one plan: a fact goes to the dates that see it."""
+    seen = F.filter(F.array(*dates), lambda d: F.col("available_at") <= d)
+    return first_by(facts.withColumn("as_of", F.explode(seen)), ["as_of", *key], [F.desc(c) for c in NEWEST])
 
 
 def newest_vectors(features: DataFrame, as_of: Column, key: str = "security_id") -> DataFrame:
@@ -125,17 +125,13 @@ def nearest_within(left: DataFrame, right: DataFrame, on: Sequence[str], left_da
     return best.select(*left.columns, F.col("_value").alias(name))
 
 
-def first_range(df: DataFrame, value: Column, ranges: DataFrame, result: str) -> DataFrame:
-    """df with the result of the first range (by ordinal) that holds the value: ranges has lo, hi, ordinal and result.
-
-    ranges is a lookup of a few rows and is broadcast; each row of df meets a match at most once.
-    """
-    table = ranges.agg(F.array_sort(F.collect_list(F.struct("ordinal", "lo", "hi", result))).alias("_ranges"))
-    matching = F.filter("_ranges", lambda r: (r.lo <= value) & (value <= r.hi))
-    return df.join(F.broadcast(table), how="cross").withColumn(result, F.try_element_at(matching, F.lit(1))[result]).drop("_ranges")
+def first_range(value: Column, ranges: Sequence[tuple]) -> Column:
+    """The result of the first of the (lo, hi, result) ranges, a lookup table of a few rows, that holds the value."""
+    table = F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(result).alias("result")) for lo, hi, result in ranges))
+    return F.try_element_at(F.filter(table, lambda r: (r.lo <= value) & (value <= r.hi)), F.lit(1))["result"]
 
 
-def covered(df: DataFrame, day: Column, ranges: DataFrame, name: str = "covered") -> DataFrame:
-    """df with whether a range (range_start, range_end) of a short table holds the day."""
-    table = ranges.agg(F.collect_list(F.struct("range_start", "range_end")).alias("_ranges"))
-    return df.join(F.broadcast(table), how="cross").withColumn(name, F.exists("_ranges", lambda r: (r.range_start <= day) & (day <= r.range_end))).drop("_ranges")
+def covered(day: Column, ranges: DataFrame) -> Column:
+    """Whether a range (range_start, range_end) of a short table holds the day; the table is read once, as a scalar."""
+    table = ranges.agg(F.collect_list(F.struct("range_start", "range_end"))).scalar()
+    return F.exists(table, lambda r: (r.range_start <= day) & (day <= r.range_end))
