@@ -150,11 +150,11 @@ def word_scores(vocabulary: Pieces, scores: np.ndarray, words: list[bytes], coun
 
 
 _SENT = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
-_STATS = pa.schema([("piece", pa.int32()), ("weight", pa.float64())])
+_STATS = pa.schema([("slot", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("weights", pa.binary())])
 _BACK = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("scores", pa.binary())])
 _DONE = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-#: Rows of the statistics beside the pieces: tokens and distinct tokens of the training texts.
-TOKENS, DISTINCT = -1, -2
+#: The parts' statistics (an array over the vocabulary each) are added up in so many groups before the driver gets them.
+SLOTS = 16
 
 
 def _spark_schema(schema: pa.Schema) -> str:
@@ -215,12 +215,18 @@ def gather(path: str):
         counts = np.array([total[w] for w in known], np.float64)
         vocabulary = pieces(path)
         _, expected = word_scores(vocabulary, vocabulary.prior(), known, counts)
-        used = np.flatnonzero(expected)
-        return _table(_STATS, [*zip(used.tolist(), expected[used].tolist(), strict=True), (TOKENS, float(counts.sum())), (DISTINCT, float(len(known)))])
+        slot = table.column("part")[0].as_py() % SLOTS
+        return _table(_STATS, [(slot, int(counts.sum()), len(known), expected.tobytes())])
 
     return run
 
 
+def add_up(table: pa.Table) -> pa.Table:
+    """One slot's statistics in one row."""
+    weights = sum(np.frombuffer(w) for w in table.column("weights").to_pylist())
+    return _table(_STATS, [(table.column("slot")[0].as_py(), sum(table.column("tokens").to_pylist()), sum(table.column("distinct").to_pylist()), weights.tobytes())])
+
+
 def answer(path: str, scores: np.ndarray):
     """To each batch, its words' counts over all training texts and their ln probabilities."""
 
@@ -280,14 +286,12 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     n = max(shuffle_partitions(docs.sparkSession), size // BATCH_BYTES)
     sent = cut(dealt.groupBy("batch").applyInArrow(send_words(n), _spark_schema(_SENT)))
     ends = own.filter("not held_out").count()
-    stats = sent.groupBy("part").applyInArrow(gather(path), _spark_schema(_STATS)).groupBy("piece").agg(F.sum("weight").alias("weight"))
-    found = {r.piece: r.weight for r in stats.collect()}  # one for each piece of the vocabulary at most
-    tokens, distinct = round(found.pop(TOKENS, 0)) + ends, round(found.pop(DISTINCT, 0)) + (ends > 0)
+    stats = sent.groupBy("part").applyInArrow(gather(path), _spark_schema(_STATS)).groupBy("slot").applyInArrow(add_up, _spark_schema(_STATS))
+    found = stats.collect()  # SLOTS rows at most
+    tokens, distinct = sum(r.tokens for r in found) + ends, sum(r.distinct for r in found) + (ends > 0)
     vocabulary = pieces(path)
     # the prior counts as one use of each piece
-    weights = np.exp(vocabulary.prior()) * vocabulary.size
-    for k, w in found.items():
-        weights[k] += w
+    weights = np.exp(vocabulary.prior()) * vocabulary.size + sum((np.frombuffer(r.weights) for r in found), np.zeros(vocabulary.size))
     whole = weights.sum() + ends + 1
     answers = sent.groupBy("part").applyInArrow(answer(path, np.log(weights / whole)), _spark_schema(_BACK))
     done = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score_texts(n, tokens, distinct, ends, float(np.log((ends + 1) / whole))), _spark_schema(_DONE))
