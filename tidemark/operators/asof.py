@@ -131,7 +131,8 @@ def first_range(value: Column, ranges: Sequence[tuple]) -> Column:
     return F.try_element_at(F.filter(table, lambda r: (r.lo <= value) & (value <= r.hi)), F.lit(1))["result"]
 
 
-def covered(day: Column, ranges: DataFrame) -> Column:
-    """Whether a range (range_start, range_end) of a short table holds the day; the table is read once, as a scalar."""
+def covered(df: DataFrame, day: Column, ranges: DataFrame, name: str = "covered") -> DataFrame:
+    """df with whether a range (range_start, range_end) of a short table holds the day; the table is read once, as a scalar."""
     table = ranges.agg(F.collect_list(F.struct("range_start", "range_end"))).scalar()
-    return F.exists(table, lambda r: (r.range_start <= day) & (day <= r.range_end))
+    held = F.exists("_ranges", lambda r: (r.range_start <= day) & (day <= r.range_end))
+    return df.withColumn("_ranges", table).withColumn(name, held).drop("_ranges")

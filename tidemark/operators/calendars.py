@@ -76,10 +76,10 @@ def step_sessions(sessions: DataFrame, coverage: DataFrame, steps: int) -> DataF
     w = Window.orderBy("session_date")
     days = sessions.select("session_date").distinct()
     target = (F.lead("session_date", steps) if steps >= 0 else F.lag("session_date", -steps)).over(w)
-    stepped = days.withColumn("_target", target)
     islands = merged_ranges(coverage).agg(F.collect_list(F.struct("range_start", "range_end"))).scalar()
+    stepped = days.withColumn("_target", target).withColumn("_islands", islands)
     lo, hi = F.least("session_date", "_target"), F.greatest("session_date", "_target")
-    whole = F.exists(islands, lambda r: (r.range_start <= lo) & (hi <= r.range_end))
+    whole = F.exists("_islands", lambda r: (r.range_start <= lo) & (hi <= r.range_end))
     return stepped.select("session_date", F.when(whole, F.col("_target")).alias("target"))
 
 
@@ -89,11 +89,13 @@ def week_final(sessions: DataFrame) -> DataFrame:
     return sessions.withColumn("is_week_final", iso_week(after) != iso_week(F.col("session_date")))
 
 
-def execution_window(as_of: Column, sessions: DataFrame, delay: str = "30 minutes") -> tuple[Column, Column]:
-    """(start, end): the next session after as_of's exchange date from delay after its open to its close."""
+def with_execution_window(runs: DataFrame, sessions: DataFrame, as_of: str = "as_of", delay: str = "30 minutes") -> DataFrame:
+    """runs with window_start and window_end: the next session after as_of's exchange date, from delay after its open to its close."""
     table = sessions.agg(F.array_sort(F.collect_list(F.struct("session_date", "open_at", "close_at")))).scalar()
-    later = F.try_element_at(F.filter(table, lambda s: s.session_date > exchange_date(as_of)), F.lit(1))
-    return later["open_at"] + F.expr(f"interval {delay}"), later["close_at"]
+    day = exchange_date(F.col(as_of))
+    later = F.try_element_at(F.filter("_sessions", lambda s: s.session_date > day), F.lit(1))
+    found = runs.withColumn("_sessions", table).withColumn("_next", later)
+    return found.withColumn("window_start", F.col("_next.open_at") + F.expr(f"interval {delay}")).withColumn("window_end", F.col("_next.close_at")).drop("_sessions", "_next")
 
 
 def window_state(now: Column, start: Column, end: Column) -> Column:

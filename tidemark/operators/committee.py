@@ -61,16 +61,17 @@ def floored(weights: Column, floor: float, most: int = 6) -> Column:
     Those below are pinned to the floor and the others scaled to what is left, as often as there can be new
     ones. Weights that can't be scaled are equal.
     """
-    pinned = F.transform(weights, lambda w: w < floor)
     n = F.size(weights)
-    for _ in range(most):
-        left = 1.0 - floor * F.size(F.filter(pinned, lambda p: p))
-        free = F.aggregate(F.zip_with(weights, pinned, lambda w, p: F.when(p, 0.0).otherwise(w)), F.lit(0.0), lambda a, x: a + x)
-        scaled = _scaled(weights, pinned, left, free, floor)
-        pinned = F.zip_with(pinned, scaled, lambda p, s: p | (s < floor))
-    left = 1.0 - floor * F.size(F.filter(pinned, lambda p: p))
-    free = F.aggregate(F.zip_with(weights, pinned, lambda w, p: F.when(p, 0.0).otherwise(w)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(free > 0, _scaled(weights, pinned, left, free, floor)).otherwise(F.transform(weights, lambda w: 1.0 / n))
+    shares = lambda pinned: _scaled(weights, pinned, 1.0 - floor * F.size(F.filter(pinned, lambda p: p)), _free(weights, pinned), floor)
+    start = F.transform(weights, lambda w: w < floor)
+    # a fold over the rounds, so that the expression grows with neither rounds nor agents
+    rounds = F.sequence(F.lit(1), F.lit(most))
+    pinned = F.aggregate(rounds, start, lambda p, _: F.zip_with(p, shares(p), lambda q, s: q | F.coalesce(s < floor, F.lit(False))))
+    return F.when(_free(weights, pinned) > 0, shares(pinned)).otherwise(F.transform(weights, lambda w: 1.0 / n))
+
+
+def _free(weights: Column, pinned: Column) -> Column:
+    return F.aggregate(F.zip_with(weights, pinned, lambda w, p: F.when(p, 0.0).otherwise(w)), F.lit(0.0), lambda a, x: a + x)
 
 
 def _scaled(weights: Column, pinned: Column, left: Column, free: Column, floor: float) -> Column:
