@@ -38,7 +38,7 @@ COMMITMENT = "group string, sha256 string"
 
 
 def commitments(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """group, sha256 of its rows in canonical JSON in order. A group is one run's book; floats are written as
+    """The group column as text and sha256 of the group's rows in canonical JSON in order. A group is one run's book; floats are written as
     shortest round-trip decimals, which built-in JSON writers don't do alike."""
     columns = [c for c in rows.columns if c != group]
 
@@ -47,7 +47,7 @@ def commitments(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
         records = [{c: _plain(v) for c, v in zip(columns, r, strict=True)} for r in ordered[columns].itertuples(index=False, name=None)]
         return pd.DataFrame([{"group": str(frame[group].iloc[0]), "sha256": hashlib.sha256(canonical_bytes({"run": str(frame[group].iloc[0]), "rows": records})).hexdigest()}])
 
-    return rows.groupBy(group).applyInPandas(digest, COMMITMENT)
+    return rows.groupBy(group).applyInPandas(digest, COMMITMENT).withColumnRenamed("group", group)
 
 
 def _plain(v: object) -> object:
@@ -61,7 +61,7 @@ def _plain(v: object) -> object:
 def verify_commitments(stored: DataFrame, rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     """Stored (group, sha256) rows that differ from the rows' digest, or have no rows."""
     now = commitments(rows, group, order).withColumnRenamed("sha256", "found")
-    return stored.join(now, "group", "left").filter(~F.col("sha256").eqNullSafe(F.col("found")))
+    return stored.join(now, group, "left").filter(~F.col("sha256").eqNullSafe(F.col("found")))
 
 
 #: Statuses in which a run of a mode is complete. Fixed values.
