@@ -40,15 +40,22 @@ class ByteBPE:
         for b, i in ranks.items():
             self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
+        #: The longest token that a token starts with, itself apart; -1 for none.
+        self.shorter = {i: next((ranks[b[:n]] for n in range(len(b) - 1, 0, -1) if b[:n] in ranks), -1) for b, i in ranks.items()}
 
     def merge(self, piece: bytes) -> list[int]:
         """The definition: join the adjacent parts of the lowest rank, leftmost first, while any join is known."""
+        rank, none = self.ranks.get, 1 << 60
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        joins = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while joins and (best := min(joins)) < none:
+            at = joins.index(best)
+            parts[at] += parts.pop(at + 1)
+            del joins[at]
+            if at:
+                joins[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(joins):
+                joins[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, a: int, b: int) -> bool:
@@ -61,34 +68,32 @@ class ByteBPE:
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        """Ids of one match of the pattern."""
+        """Ids of one match of the pattern: the longest match at each position, or a shorter one where it may not follow."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        starts: list[list[int]] = [[] for _ in piece]
-        length = self.length
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            starts[end - length[token] + 1].append(token)  # the shorter ones first
-        dead = bytearray(len(piece) + 1)
+        latin = piece.decode("latin-1")
+        length, size = self.length, len(latin)
+        longest = [0] * size
+        for end, token in self.automaton.iter(latin):
+            # of the matches from one start, the longest comes last
+            longest[end - length[token] + 1] = token
+        dead = bytearray(size + 1)
         ids: list[int] = []
-        taken: list[int] = []
-        at, choice = 0, len(starts[0]) - 1
-        while at < len(piece):
-            here, before = starts[at], ids[-1] if ids else None
-            while choice >= 0:
-                token = here[choice]
-                if not dead[at + length[token]] and (before is None or self.may_follow(before, token)):
-                    break
-                choice -= 1
-            if choice >= 0:
+        at, token = 0, longest[0]
+        while at < size:
+            before = ids[-1] if ids else None
+            while token >= 0 and (dead[at + length[token]] or before is not None and not self.may_follow(before, token)):
+                token = self.shorter[token]
+            if token >= 0:
                 ids.append(token)
-                taken.append(choice)
                 at += length[token]
-                choice = len(starts[at]) - 1 if at < len(piece) else -1
+                token = longest[at] if at < size else -1
             else:
                 dead[at] = 1
-                at -= length[ids.pop()]
-                choice = taken.pop() - 1
+                token = ids.pop()
+                at -= length[token]
+                token = self.shorter[token]
         return ids
 
     def encode(self, text: str) -> list[int]:
