@@ -35,6 +35,7 @@ class ByteBPE:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.length = {i: len(b) for b, i in ranks.items()}
+        self.most_bytes = max(self.length.values(), default=0)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
@@ -73,14 +74,23 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         latin = piece.decode("latin-1")
+        # the longest matches one after the other, which mostly may follow each other
+        ids = [token for _, token in self.automaton.iter_long(latin)]
+        known = self.pairs.get
+        for pair in zip(ids, ids[1:], strict=False):
+            fits = known(pair)
+            if not (self.may_follow(*pair) if fits is None else fits):
+                return self.backtrack(latin)
+        return ids
+
+    def longest_at(self, latin: str, at: int) -> int:
+        return next(self.automaton.iter_long(latin[at : at + self.most_bytes]))[1]
+
+    def backtrack(self, latin: str) -> list[int]:
         length, size = self.length, len(latin)
-        longest = [0] * size
-        for end, token in self.automaton.iter(latin):
-            # of the matches from one start, the longest comes last
-            longest[end - length[token] + 1] = token
         dead = bytearray(size + 1)
         ids: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, self.longest_at(latin, 0)
         while at < size:
             before = ids[-1] if ids else None
             while token >= 0 and (dead[at + length[token]] or before is not None and not self.may_follow(before, token)):
@@ -88,7 +98,7 @@ class ByteBPE:
             if token >= 0:
                 ids.append(token)
                 at += length[token]
-                token = longest[at] if at < size else -1
+                token = self.longest_at(latin, at) if at < size else -1
             else:
                 dead[at] = 1
                 token = ids.pop()
@@ -109,6 +119,18 @@ def coder(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
+@lru_cache(maxsize=2)
+def round_trip_memo(path: str, pattern: str) -> ChunkMemo:
+    """Chunk -> number of its ids, the ids as decimals, the ids decoded; kept from task to task of a Python worker."""
+    bpe = coder(path, pattern)
+
+    def both(chunk: str) -> tuple[int, bytes, bytes]:
+        ids = bpe.encode(chunk)
+        return len(ids), ",".join(map(str, ids)).encode(), bpe.decode(ids)
+
+    return ChunkMemo(both)
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (array of int) of each whole text; a null text is the empty one, which has no ids. No shuffle."""
 
@@ -140,17 +162,11 @@ def decode_ids(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids"
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256, of whole texts, without keeping the ids.
 
-    Ids of a repeated chunk, as decimals and decoded to bytes again, are remembered within a task.
+    What a repeated chunk gives is remembered in each Python worker, for a bounded number of chunks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
-
-        def both(chunk: str) -> tuple[int, bytes, bytes]:
-            ids = bpe.encode(chunk)
-            return len(ids), ",".join(map(str, ids)).encode(), bpe.decode(ids)
-
-        memo = ChunkMemo(both)
+        memo = round_trip_memo(path, pattern)
         for b in batches:
             counts, digests, decoded = [], [], []
             for text in b.column(1).to_pylist():
