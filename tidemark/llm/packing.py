@@ -19,7 +19,6 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import ChunkMemo
 from tidemark.llm.common import in_batches, text_bytes
 
 LENGTH = 2048
@@ -114,15 +113,8 @@ def tokenizer(path: str, pattern: str) -> tuple[tiktoken.Encoding, dict[str, int
 
 def text_ids(path: str, pattern: str):
     """text -> its ids as little-endian unsigned 32-bit bytes, as the tokenizers library gives them."""
-    coding, special = tokenizer(path, pattern)
-    memo = ChunkMemo(lambda chunk: np.array(coding.encode_ordinary(chunk), "<u4").tobytes())
-
-    def ids(text: str) -> bytes:
-        if any(s in text for s in special):
-            return np.array(coding.encode(text, allowed_special="all"), "<u4").tobytes()
-        return b"".join(memo.values(text))
-
-    return ids
+    coding, _ = tokenizer(path, pattern)
+    return lambda text: coding.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
