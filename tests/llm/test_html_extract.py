@@ -64,3 +64,23 @@ def test_whole_table_against_a_plain_reading(spark):
         want = "\n\n".join(plain(rows[r.page_id].html)) if r.page_id >= 0 else {-1: "", -2: "", -3: "hi"}[r.page_id]
         assert r.text == want and r.n_chars == len(want) and r.url == rows[r.page_id].url
     assert he.extract(pages.limit(0)).count() == 0
+
+
+def test_a_text_is_template_only_where_nearly_all_distinct_pages_have_it():
+    page = '<html><body><div>Top</div><div class="x"><p>{0} text that varies from page to page</p>{1}</div></body></html>'
+    more = {2: "<h2>Background</h2>", 4: "<h2>Background</h2>", 5: "<ul><li>same</li><li>same</li></ul>"}
+    pages = [page.format(f"page {k}", more.get(k, "")) for k in range(6)]
+    wrapper = he.infer([*pages, pages[2], pages[5], pages[5]])
+    for k, extra in ((2, ["Background"]), (4, ["Background"]), (5, ["same", "same"]), (0, [])):
+        assert he.read(wrapper, pages[k]) == [f"page {k} text that varies from page to page", *extra]
+    always = [page.format(f"page {k}", "<h2>Contents</h2>") for k in range(6)]
+    assert he.read(he.infer(always), always[1]) == ["page 1 text that varies from page to page"]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    copy = '<html><body><div class="x"><p>one text and another</p><h2>Only here</h2></div></body></html>'
+    other = '<html><body><div class="x"><p>quite different words {0}</p></div></body></html>'
+    rows = [(k, "http://h.example/a", copy) for k in range(30)] + [(100 + k, "http://h.example/b", other.format(k)) for k in range(5)]
+    got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "one text and another\n\nOnly here" for k in range(30))
+    assert all(got[100 + k] == f"quite different words {k}" for k in range(5))

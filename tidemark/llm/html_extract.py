@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import html
 import json
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -26,6 +27,8 @@ SAMPLE_PAGES = 12
 #: Hosts whose wrappers are broadcast.
 BROADCAST_HOSTS = 2_000
 LONGEST_GROUP = 3
+#: Distinct pages that a fixed text needs to count as template, at least.
+TEMPLATE_PAGES = 3
 #: Elements nested deeper belong to the one at this depth.
 DEEPEST = 150
 
@@ -128,7 +131,7 @@ def parse(page: str) -> Node:
 
 # A wrapper is made of JSON values:
 #   {"tag": name, "marks": [...], "in": [parts], "opt": bool, "many": bool} an element,
-#   {"text": fixed text or None for a slot, "opt": bool, "size": characters seen, "seen": texts}.
+#   {"text": fixed text or None for a slot, "opt": bool, "size": characters seen, "pages": pages that have it, at least}.
 
 
 def _key(part: dict) -> tuple:
@@ -136,7 +139,7 @@ def _key(part: dict) -> tuple:
 
 
 def _of(node: Node) -> dict:
-    parts = [{"text": c, "opt": False, "size": len(c), "seen": 1} if isinstance(c, str) else _of(c) for c in node.children]
+    parts = [{"text": c, "opt": False, "size": len(c), "pages": 1} if isinstance(c, str) else _of(c) for c in node.children]
     return {"tag": node.name, "marks": list(node.marks), "in": _folded(parts), "opt": False, "many": False}
 
 
@@ -150,39 +153,40 @@ def _folded(parts: list[dict]) -> list[dict]:
                 again = out[-size:]
                 del out[-size:]
                 for k, p in enumerate(again):
-                    out[k - size] = _merged(out[k - size], p) | {"many": True}
+                    out[k - size] = _merged(out[k - size], p, max) | {"many": True}
         parts = out
     return parts
 
 
-def _merged(a: dict, b: dict) -> dict:
-    """The wrapper of what either accepts; both have one key."""
+def _merged(a: dict, b: dict, count: Callable[[int, int], int]) -> dict:
+    """The wrapper of what either accepts; both have one key. count is add for parts of different pages, else max."""
     if "tag" not in a:
         same = a["text"] is not None and a["text"] == b["text"]
-        return {"text": a["text"] if same else None, "opt": a["opt"] or b["opt"], "size": a["size"] + b["size"], "seen": a["seen"] + b["seen"]}
-    return {"tag": a["tag"], "marks": a["marks"], "in": _aligned(a["in"], b["in"]), "opt": a["opt"] or b["opt"], "many": a["many"] or b["many"]}
+        return {"text": a["text"] if same else None, "opt": a["opt"] or b["opt"], "size": a["size"] + b["size"], "pages": count(a["pages"], b["pages"])}
+    return {"tag": a["tag"], "marks": a["marks"], "in": _aligned(a["in"], b["in"], count), "opt": a["opt"] or b["opt"], "many": a["many"] or b["many"]}
 
 
-def _aligned(a: list[dict], b: list[dict]) -> list[dict]:
+def _aligned(a: list[dict], b: list[dict], count: Callable[[int, int], int]) -> list[dict]:
     keys_a, keys_b = [_key(p) for p in a], [_key(p) for p in b]
     out: list[dict] = []
     if keys_a == keys_b:
-        return [_merged(x, y) for x, y in zip(a, b, strict=True)]
+        return [_merged(x, y, count) for x, y in zip(a, b, strict=True)]
     for kind, i, i2, j, j2 in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [_merged(x, y) for x, y in zip(a[i:i2], b[j:j2], strict=True)]
+            out += [_merged(x, y, count) for x, y in zip(a[i:i2], b[j:j2], strict=True)]
         else:
             out += [p | {"opt": True} for p in (*a[i:i2], *b[j:j2])]
     return _folded(out)
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's pages, aligned one after the other."""
+    """The wrapper of a host's pages, aligned one after the other; copies of a page count once."""
     wrapper = None
+    pages = list(dict.fromkeys(pages))
     for page in pages:
         own = _of(parse(page))
-        wrapper = own if wrapper is None else _merged(wrapper, own)
-    return judged(wrapper or _of(parse("")))
+        wrapper = own if wrapper is None else _merged(wrapper, own, operator.add)
+    return judged(wrapper or _of(parse("")), len(pages))
 
 
 def _is_boilerplate(tag: str, marks) -> bool:
@@ -215,8 +219,8 @@ def _mains(part: dict) -> list[dict]:
     return inner or ([part] if part["tag"] == "main" or "main" in part["marks"] else [])
 
 
-def judged(wrapper: dict) -> dict:
-    """keep on each part that holds the article; template on texts there that all pages share."""
+def judged(wrapper: dict, pages: int) -> dict:
+    """keep on each part that holds the article, but not on texts there that nearly all of so many pages share."""
     mains = _mains(wrapper)
     if mains:
         for part in mains:
@@ -226,15 +230,17 @@ def judged(wrapper: dict) -> dict:
     while (total := _mass(at)) and (best := max((p for p in at["in"] if "tag" in p), key=_mass, default=None)) and _mass(best) >= 0.7 * total and any("tag" in c for c in best["in"]):
         at = best
     _mark(at, "keep", True)
-    several = sum(p["seen"] for p in _texts(at)) > 1
     for p in _texts(at):
-        if several and p["text"] is not None and p["seen"] > 1 and total:
+        if p["text"] is not None and pages >= TEMPLATE_PAGES and 10 * p["pages"] >= 9 * pages and total:
             p["keep"] = False
     return wrapper
 
 
 def _texts(part: dict) -> Iterator[dict]:
+    """Texts below that no page lacks."""
     for p in part.get("in", ()):
+        if p["opt"]:
+            continue
         if "tag" in p:
             yield from _texts(p)
         else:
@@ -288,7 +294,8 @@ def _infer_host(table: pa.Table) -> pa.Table:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper, pages: one row for each host of pages (host, html)."""
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html")))
-    drawn = pages.select("host", "html").withColumn("place", place).filter(F.col("place") <= SAMPLE_PAGES).drop("place")
+    distinct = pages.select("host", "html", F.xxhash64("html").alias("digest")).dropDuplicates(["host", "digest"])
+    drawn = distinct.select("host", "html").withColumn("place", place).filter(F.col("place") <= SAMPLE_PAGES).drop("place")
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     return drawn.groupBy("host").applyInArrow(_infer_host, "host string, wrapper binary").join(sizes, "host")
 
