@@ -84,3 +84,11 @@ def test_copies_of_a_page_are_no_template(spark):
     got = {r.page_id: r.text for r in he.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == "one text and another\n\nOnly here" for k in range(30))
     assert all(got[100 + k] == f"quite different words {k}" for k in range(5))
+
+
+def test_a_page_of_another_template_is_not_empty():
+    wrapper = he.infer([PAGE.format(k, "") for k in range(6)])
+    bare = '<html><body><nav>Home</nav><div class="story"><p>Text in a plain element</p></div><footer>f</footer></body></html>'
+    assert he.read(wrapper, bare) == ["Text in a plain element"]
+    page = '<html><body><div>Top</div><div class="x"><div><p>{0} long enough text</p></div></div></body></html>'
+    assert he.read(he.infer([page.format(k) for k in range(6)]), bare.replace("div", "section")) == ["Text in a plain element"]

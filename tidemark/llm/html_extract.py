@@ -248,7 +248,12 @@ def _texts(part: dict) -> Iterator[dict]:
 
 
 def read(wrapper: dict, page: str) -> list[str]:
-    """Blocks of the page's main text, in order."""
+    """Blocks of the page's main text, in order; of a page without any by this wrapper, those by its own."""
+    root = parse(page)
+    return _blocks(wrapper, root) or _blocks(judged(_of(root), 1), root)
+
+
+def _blocks(wrapper: dict, root: Node) -> list[str]:
     out: list[str] = []
 
     def children(parts: list[dict], node: Node, keep: bool) -> None:
@@ -276,7 +281,7 @@ def read(wrapper: dict, page: str) -> list[str]:
             else:
                 children(part["in"], c, part.get("keep", False))
 
-    children(wrapper["in"], parse(page), wrapper.get("keep", False))
+    children(wrapper["in"], root, wrapper.get("keep", False))
     return out
 
 
