@@ -570,7 +570,7 @@ def two_figures(spark, sf_dir):
 
 @query("mc_type1")
 def mc_type1(spark, sf_dir):
-    return sequential.upper_bounds(sequential.simulate(spark, ["iid_t3", "garch11", "ar1_0.3", "skewed"], 1000))
+    return sequential.upper_bounds(sequential.simulate(spark, ["iid_t3", "garch11", "ar1_0.1", "ar1_0.2", "ar1_0.3", "skewed"], 20_000))
 
 
 @query("tost_diagnostic")
