@@ -57,3 +57,16 @@ def test_every_byte_counts_once():
     assert np.allclose(p.sum(axis=1), [0, 1, 1, 1])
     one = li.document_scores(net, [texts[3]])
     assert np.allclose(one[0], p[3])
+
+
+def test_what_is_rejected_depends_on_the_network(spark):
+    rows = [(1, "aaaa aaa aa", 5), (2, "bbb bbbb b", 5), (3, None, 5), (4, "12 $$", 5), (5, "", 5), (6, "ab" * 400_000, 5), (1, "aaaa aaa aa", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    net = li.train([(b"aaa aa aaaa", "x"), (b"bbb bb b bbb", "y")])
+    assert sorted(r.doc_id for r in li.identified(df.filter("doc_id < 6"), net).collect()) == [1, 1, 2]
+    even = li.fresh(["x", "y"])
+    even.out[:] = 0
+    assert li.identified(df, even).count() == 0
+    for lone in (["x"], ["und"]):
+        assert sorted(r.doc_id for r in li.identified(df, li.fresh(lone)).collect()) == [1, 1, 2, 6]
+    assert li.identified(df.limit(0), net).count() == 0

@@ -6,9 +6,11 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import exact_dedup, secret_scan, simhash
+from tidemark.llm import exact_dedup, secret_scan
 from tidemark.llm.common import BYTE_LOWER
 
+from test_near_dedup import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -36,8 +38,7 @@ def test_stages(spark, tmp_path):
                 best[low(texts[i])] = max(i, best.get(low(texts[i]), i))
             assert set(rows) == set(best.values())
         elif name == "near_dedup":
-            groups = simhash.near_groups(docs).collect()
-            assert set(rows) == {r.component_id for r in groups}
+            assert set(rows) == set(brute(sorted((i, texts[i]) for i in last)))
         else:
             assert set(rows) == last and "abcdefghijkl1" not in rows[903].text
             for i, r in rows.items():
@@ -82,13 +83,52 @@ def test_merge_index_levels():
     digests, ids = rng.integers(0, 500, 5000).astype(np.uint64), np.arange(5000)
     index = exact_dedup.MergeIndex(memtable_rows=64, fan_in=3)
     for k in range(0, 5000, 50):
-        index.put(digests[k : k + 50], ids[k : k + 50], np.ones(50, np.int64))
-    found = {int(d): (int(i), int(n)) for part in index.hits() for d, i, n in zip(*part, strict=True)}
+        index.put(digests[k : k + 50], ids[k : k + 50], ids[k : k + 50], np.ones(50, np.int64))
+    found = {int(d): (int(i), int(j), int(n)) for part in index.hits() for d, i, j, n in zip(*part, strict=True)}
     want = {}
     for d, i in zip(digests.tolist(), ids.tolist(), strict=True):
-        first, n = want.get(d, (i, 0))
-        want[d] = (min(first, i), n + 1)
-    assert found == {d: x for d, x in want.items() if x[1] > 1}
+        first, last, n = want.get(d, (i, i, 0))
+        want[d] = (min(first, i), max(last, i), n + 1)
+    assert found == {d: x for d, x in want.items() if x[2] > 1}
+
+
+def test_pieces_of_runs_keep_their_filters():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    digests = rng.integers(-(1 << 63), 1 << 63, 3000)
+    digests = np.r_[digests, digests[:700], digests[:50]]
+    ids = [None if k % 5 == 0 else k for k in range(len(digests))]
+    for ranges in (1, 7, 64):
+        batches = [pa.RecordBatch.from_arrays([pa.array(digests[i : i + 400]), pa.array(ids[i : i + 400], pa.int64())], names=["digest", "id"]) for i in range(0, len(digests), 400)]
+        rows = sorted((r for p in exact_dedup.flush_runs(ranges)(iter(batches)) for r in p.to_pylist()), key=lambda r: r["range"])
+        for r in rows:
+            own = np.frombuffer(r["digests"], np.uint64)
+            bloom = exact_dedup.BloomFilter.unpacked(r["filter"], len(own))
+            assert (np.diff(own) > 0).all() and bloom.may_hold(own).all()
+            assert bloom.may_hold(rng.integers(0, 1 << 63, 2000).astype(np.uint64)).mean() < 0.1
+        found = {r["digest"]: (r["least"], r["most"], r["copies"]) for p in exact_dedup.compact(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=3))) for r in p.to_pylist()}
+        want = {}
+        for d, i in zip(digests.tolist(), ids, strict=True):
+            want.setdefault(d, []).append(i)
+        want = {d: (min((i for i in x if i is not None), default=None), max((i for i in x if i is not None), default=None), len(x)) for d, x in want.items() if len(x) > 1}
+        assert found == want
+
+
+def test_a_repeated_id_takes_no_other_text_with_it(spark):
+    schema = "doc_id long, text string, row string, sha string"
+    for rows, keep, want in (
+        ([(5, "same"), (9, "same"), (5, "another unique text")], "largest", [(5, "another unique text"), (9, "same")]),
+        ([(5, "same"), (3, "same"), (5, "another")], "smallest", [(3, "same"), (5, "another")]),
+        ([(1, "a"), (1, "a"), (1, "c"), (2, "C")], "smallest", [(1, "a"), (1, "c")]),
+        ([(1, "a"), (1, "A")], "largest", [(1, "a"), (1, "A")]),
+        ([], "largest", []),
+    ):
+        df = spark.createDataFrame([(*r, "x", "y") for r in rows], schema)
+        got = [(r.doc_id, r.text) for r in exact_dedup.without_copies(df, keep=keep).collect()]
+        assert sorted(got) == sorted(want) or (rows == [(1, "a"), (1, "A")] and len(got) == 1)
+        assert exact_dedup.without_copies(df, keep=keep).columns == df.columns
 
 
 def test_secret_spans_against_a_full_scan(spark):

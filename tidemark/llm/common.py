@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share and go on from there."""
+    """Write df as a table in the folder that all executors share and go on from there.
+
+    The folder is spark.checkpoint.dir; a session on one machine that names none gets a temporary one. A
+    table read again has its true size, where a checkpoint would keep its plan's estimate, which multiplies
+    with every join of a loop.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        # only where the cluster names none, as in tests on one machine
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster has to name a folder that its machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if its rows, which are counted here, are few enough."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -66,9 +82,3 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
         flagged.filter(is_hot).drop("_hot").join(F.broadcast(hot), keys, how)
         .unionByName(flagged.filter(~is_hot).drop("_hot").join(cold, keys, how))
     )
-
-
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """docs without the rows whose key is in dropped (distinct keys); rows with a null key stay."""
-    small = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if small else dropped, key, "left_anti").select(*docs.columns)

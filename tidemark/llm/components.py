@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, join_unique
+
+
+def _with_least(links: DataFrame) -> DataFrame:
+    """links (a, b) with m, the smallest b of a; the centre of a large star is no hot key of a shuffle."""
+    least = cut(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("degree")))
+    return join_unique(links, least, ["a"], "degree", least.agg(F.sum("degree")).first()[0] or 0, "inner").drop("degree")
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to its smallest neighbour (itself included)."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each node's smaller neighbours, and the node, go to the smallest of them."""
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-    return least.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
+    down = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    met = _with_least(down)
+    moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return met.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut, small
+
 HIDDEN = 8
 WINDOW = 64
 #: The sample: about so many documents of each language, and so many windows of each.
@@ -24,6 +26,8 @@ STEPS, BATCH, RATE = 220, 256, 0.03
 #: Windows that are read together, so that a step's arrays stay in the cache.
 TOGETHER = 2048
 UNKNOWN = "und"
+#: A text is of no language if its best one is so little above an even share, or less.
+LEAST_LEAD = 0.05
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -172,21 +176,18 @@ def train(samples: list[tuple[bytes, str]], seed: int = 1, steps: int = STEPS) -
 def document_scores(net: Network, texts: list[bytes]) -> np.ndarray:
     """texts x languages: the mean distribution over all bytes of each text; zeros for an empty one."""
     total = np.zeros((len(texts), len(net.languages)))
-    full, rest = [], []
-    for k, t in enumerate(texts):
-        cut = len(t) - len(t) % WINDOW
-        full += [(k, t[i : i + WINDOW]) for i in range(0, cut, WINDOW)]
-        if len(t) > cut:
-            rest.append((k, t[cut:]))
-    rest.sort(key=lambda x: len(x[1]))
-    for windows, masked in ((full, False), (rest, True)):
-        for i in range(0, len(windows), TOGETHER):
-            part = windows[i : i + TOGETHER]
-            letters, valid = padded([w for _, w in part])
-            p = position_scores(net, letters, valid if masked else None)
-            if masked:
-                p *= valid[:, :, None]
-            np.add.at(total, [k for k, _ in part], p.sum(axis=0))
+    cuts = [len(t) - len(t) % WINDOW for t in texts]
+    letters = np.frombuffer(b"".join(t[:c] for t, c in zip(texts, cuts, strict=True)), np.uint8).reshape(-1, WINDOW)
+    owner = np.repeat(np.arange(len(texts)), np.array(cuts, int) // WINDOW)
+    for i in range(0, len(letters), TOGETHER):
+        p = position_scores(net, np.ascontiguousarray(letters[i : i + TOGETHER].T), None)
+        np.add.at(total, owner[i : i + TOGETHER], p.sum(axis=0))
+    rest = sorted(((k, t[c:]) for k, (t, c) in enumerate(zip(texts, cuts, strict=True)) if len(t) > c), key=lambda x: len(x[1]))
+    for i in range(0, len(rest), TOGETHER):
+        part = rest[i : i + TOGETHER]
+        letters, valid = padded([w for _, w in part])
+        p = position_scores(net, letters, valid) * valid[:, :, None]
+        np.add.at(total, [k for k, _ in part], p.sum(axis=0))
     return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
 
@@ -198,9 +199,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, folds: i
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
     usable = own.filter((fold_of(F.col("id"), folds) != held_out_fold) & F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # a row for each language
-    drawn = F.pmod(F.xxhash64("id", "text", F.lit(9)), F.lit(1 << 30)) * F.col("n") < F.lit(SAMPLE_DOCUMENTS << 30)
-    chosen = usable.join(F.broadcast(counts), "label").filter(drawn).select("id", "text", "label")
+    counts = cut(usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")))  # a row for each language
+    drawn = F.pmod(F.xxhash64("id", "text", F.lit(9)), F.lit(1 << 30)).cast("double") * F.col("n") < float(SAMPLE_DOCUMENTS << 30)
+    chosen = usable.join(small(counts), "label").filter(drawn).select("id", "text", "label")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,7 +230,10 @@ def labelled(net: Network, texts: list[str | None]) -> tuple[list[str], list[flo
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for each row of docs. No shuffle."""
+    """id, lang_pred, score for each row of docs, whatever repeats. No shuffle.
+
+    A null text and one without a letter is UNKNOWN with score 0. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,15 +245,25 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(net: Network, texts: list[str | None]) -> list[bool]:
+    """Which texts are of some language: they have a letter, and the network prefers one language by LEAST_LEAD."""
+    _, score = labelled(net, texts)
+    least = 1 / len(net.languages) + LEAST_LEAD if len(net.languages) > 1 else 0.0
+    return [bool(t and LETTER.search(t)) and s >= least for t, s in zip(texts, score, strict=True)]
+
+
 def identified(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs, all columns as they are, without the rows whose language is UNKNOWN. No shuffle."""
+    """docs, all columns as they are, without the rows that the network gives no language. No shuffle.
+
+    Rejected are null texts, texts without a letter, and texts whose pooled score is not LEAST_LEAD above an
+    even share of all languages. A network of one language, or of none, rejects no text that has a letter.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 400) for i in range(0, b.num_rows, 400)):
-                lang, _ = labelled(net, part.column(at).to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+                yield part.filter(pa.array(accepted(net, part.column(at).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, join_unique, without
+from tidemark.llm import near_dedup
+from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, join_unique, small
 from tidemark.llm.components import connected
 
 SEED = 42
@@ -31,8 +32,17 @@ ALL_BITS = (1 << 64) - 1
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes; 0 where there is none."""
+    hashes = hashes.astype(np.dtype(">u8"))
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8192):  # a bounded part of a long text's bits at once
+        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str, shingle_words: int = 3) -> int:
-    """Bits that are set in over half of the hashes of the word shingles; 0 where there is no word."""
+    """The fingerprint of the hashes of a text's word shingles; 0 where there is no word."""
     words = BYTE_WORD.findall(text.encode().translate(BYTE_LOWER))
     if not words:
         return 0
@@ -40,11 +50,7 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words)), strict=False))
-    hashes = np.fromiter(map(_hash, shingles), np.dtype(">u8"))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 8192):  # a bounded part of a long text's bits at once
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return fingerprint_of(np.fromiter(map(_hash, shingles), np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int = 3) -> DataFrame:
@@ -190,8 +196,8 @@ def fingerprint_links(fps: DataFrame, most: int = 3) -> DataFrame:
         sizes = rows.groupBy("mask", "bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         large = cut(sizes.filter(F.col("size") > MOST_IN_BUCKET).select("mask", "bucket"))
         n_large = large.count()
-        small = rows if not n_large else rows.join(F.broadcast(large), ["mask", "bucket"], "left_anti")
-        dealt = small.select("mask", "bucket", "fp").repartition("mask", "bucket").sortWithinPartitions("mask", "bucket")
+        fit = rows if not n_large else rows.join(small(large), ["mask", "bucket"], "left_anti")
+        dealt = fit.select("mask", "bucket", "fp").repartition("mask", "bucket").sortWithinPartitions("mask", "bucket")
         found = dealt.mapInArrow(link_buckets(most), "a long, b long")
         links = found if links is None else links.unionByName(found)
         if not n_large:
@@ -199,7 +205,7 @@ def fingerprint_links(fps: DataFrame, most: int = 3) -> DataFrame:
         finer = large.select("mask").distinct().collect()  # at most a mask for each choice of blocks
         again = {r.mask: [signed((r.mask & ALL_BITS) | m) for m in block_masks([b for b in range(64) if not (r.mask >> b) & 1], most + 1, 1)] for r in finer}
         deal = F.create_map(*(x for k, v in again.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-        rows = rows.join(F.broadcast(large), ["mask", "bucket"], "left_semi").select("fp", F.explode(deal[F.col("mask")]).alias("mask"))
+        rows = rows.join(small(large), ["mask", "bucket"], "left_semi").select("fp", F.explode(deal[F.col("mask")]).alias("mask"))
     # whatever is still crowded differs in few bits only: searched as it is
     rows = rows.withColumn("bucket", F.col("fp").bitwiseAND(F.col("mask")))
     dealt = rows.select("mask", "bucket", "fp").repartition("mask", "bucket").sortWithinPartitions("mask", "bucket")
@@ -211,7 +217,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     component_id is the smallest id reachable over links of at most most differing bits. A null text is
     empty; all texts without a word share fingerprint zero. A null id gets the component of its
-    fingerprint, and is never a component's name unless the component has no other id.
+    fingerprint, and is never a component's name unless the component has no other id. Rows that repeat an
+    id get a row each, by their own text. An empty table gives no rows; other columns are ignored.
     """
     prints = cut(fingerprints(docs, id_col, text_col, shingle_words))
     # copies meet here, counted before the shuffle
@@ -229,7 +236,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns as they are, with the smallest id of each near-duplicate group; rows without an id stay."""
-    groups = near_groups(docs, id_col, text_col)
-    return without(docs, groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), id_col)
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
+    """docs, all columns as they are, with the smallest id of each group of texts linked by similarity 0.8 or more.
+
+    Similarity is Jaccard's, of sets of shingles of five words, letters A-Z lower-cased. The Gray-order index
+    links fingerprints of these sets within most bits, and sets with one fingerprint; each such link is
+    verified. Sets of similarity 0.8 mostly differ in more bits than an index can search, so a prefix filter
+    finds every other pair, and leaves out those that are linked already.
+
+    A null text is empty; texts without a word are alike. What goes is told by id and text, so that a
+    repeated id takes no other text with it. Rows without an id stay, and so do all rows with the id and text
+    that stay. An empty table stays empty; columns may have any names.
+    """
+
+    def seed_links(nodes: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets whose fingerprints are near, spanning their groups; nodes has s and fp."""
+        first = cut(nodes.groupBy("fp").agg(F.min("s").alias("first"), F.count(F.lit(1)).alias("sets")))
+        shared = first.filter("sets > 1")
+        same = join_unique(nodes.select("s", "fp"), shared, ["fp"], "sets", first.count(), "inner").select(F.col("first").alias("a"), F.col("s").alias("b"))
+        named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_s"))
+        near = fingerprint_links(first.select("fp"), most).distinct().join(named("a"), "a").join(named("b"), "b").select(F.col("a_s").alias("a"), F.col("b_s").alias("b"))
+        return same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+
+    return near_dedup.without_alike(docs, id_col, text_col, fingerprint_of, seed_links)
