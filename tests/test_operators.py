@@ -76,6 +76,8 @@ def test_two_figures(spark):
         ("sold 500 shares in FY 2021, Q2 2020 and March 2019", "sold [SHARES] in [DATE], [DATE] and [DATE]"),
         ("rose 12% to 123 or 12,345 or 1234.5", "rose 12% to 123 or [NUM] or [NUM]"),
         ("v1.2345 stays", "v1.2345 stays"),
+        ("version 1.2.3.4 and 1.2345 or 12.34 or 12.3", "version 1.2.3.4 and [NUM] or [NUM] or 12.3"),
+        ("é1234 and 1,23.4 and 1,,2,3 4", "é1234 and [NUM] and 1,,2,3 4"),
     ],
 )
 def test_scrub(spark, raw, want):
@@ -99,6 +101,75 @@ def test_masker():
     assert m.mask("Acmes") == "Acmes" and m.mask(None) is None
 
 
+def test_masker_reads_texts_as_people_write_them():
+    m = text.Masker([("T1", "ticker", "IBM"), ("T2", "ticker", "BRK.B"), ("T3", "name", "Lowe's Companies"), ("T4", "ticker", "AR"), ("T5", "name", "Acme"), ("T5", "name", "Acme Robotics"), ("T6", "brand", "AT&T"), ("T7", "person", "José Cruz"), ("T8", "cik", "42"), ("T9", "name", "acme"), ("T10", "ticker", "V")])
+    for raw, want in {
+        "ibm rose; BRK/B fell; Lowe\u2019s Companies up": "T1 rose; T2 fell; T3 up",
+        "$ibm $AR ar AR. V v": "T1 T4 ar T4. T10 v",
+        "ACME  ROBOTICS acme Acmes": "T5 ENTITY_00 Acmes",
+        "at&t at & t xAT&T": "T6 at & t xAT&T",
+        "jose\u0301 CRUZ and ＡＲ": "T7 and T4",
+        "CIK no. 0042, cik: 42x, 0000000042 42": "T8, cik: 42x, T8 42",
+        "": "",
+        "BRK.BX BRK.B.": "BRK.BX T2.",
+    }.items():
+        assert m.mask(raw) == want, raw
+    assert text.Masker([]).mask("a\u2019b") == "a'b"
+
+
+def test_masker_against_one_pattern(spark):
+    """Names alone are what one alternation of all of them, the longest first, finds."""
+    import re
+
+    names = ["for the", "the", "and that", "The of ea", "re", "Sch in", "un"]
+    pattern = re.compile(r"(?<!\w)(?:" + "|".join(r"\s+".join(map(re.escape, n.split())) for n in sorted(names, key=len, reverse=True)) + r")(?!\w)", re.I)
+    token = {" ".join(n.split()).casefold(): f"T{k}" for k, n in enumerate(names)}
+    m = text.Masker([(f"T{k}", "name", n) for k, n in enumerate(names)])
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").filter("text is not null").collect():
+        plain = text.plain_text(r.text)
+        assert m.mask(r.text) == pattern.sub(lambda f: token[" ".join(f[0].split()).casefold()], plain)
+
+
+def test_pseudonyms_and_alias_rows(spark):
+    token = lambda n: one(spark, text.pseudonym(F.lit(n), F.lit(7)))
+    assert token("O\u2019Neil  Straße") == token("o'neil STRASSE") == token("Ｏ'Neil Straße") != token("Oneil Strasse")
+    securities = spark.createDataFrame([(1, "Acme Robotics Corp.", "ACME", 42), (2, "Plain", "P", 43)], "security_id int, name string, ticker string, cik long")
+    brands = spark.createDataFrame([(42, "acme robotics"), (42, "Zed "), (43, "")], "cik long, brand string")
+    people = spark.createDataFrame([(2, "SMITH JOHN A")], "security_id int, name string")
+    got = sorted((r.security_id, r.kind, r.text, r.person) for r in text.alias_rows(securities, brands, people).collect())
+    who = "SMITH JOHN A"
+    assert got == [(1, "brand", "Zed", None), (1, "brand", "acme robotics", None), (1, "cik", "42", None), (1, "name", "Acme Robotics", None), (1, "name", "Acme Robotics Corp.", None), (1, "ticker", "ACME", None),
+                   (2, "cik", "43", None), (2, "name", "Plain", None), *((2, "person", f, who) for f in ("JOHN A SMITH", "JOHN A. SMITH", "JOHN SMITH", "SMITH", "SMITH JOHN A")), (2, "ticker", "P", None)]
+
+
+def test_scrub_against_counted_matches(spark):
+    """Long numbers of real texts, against a plain search that counts the digits of each match."""
+    import re
+
+    number = re.compile(r"(?<![\w.])" + text.NUMBER)
+    scrubbed = text.LONG_NUMBER
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", F.regexp_replace("text", scrubbed, "[NUM]").alias("got")).filter("text is not null").collect():
+        assert r.got == number.sub(lambda m: "[NUM]" if sum(c.isdigit() for c in m[0]) >= 4 else m[0], r.text)
+
+
+def test_processes_have_their_moments():
+    for k, (name, p) in enumerate(sequential.PROCESSES.items()):
+        x = sequential.draw(name, np.random.default_rng(k), 4000, 100) / sequential.WEEKLY_SD
+        if p.innovation != "gamma2":
+            assert abs(x.mean()) < 0.02
+        if p.innovation != "t3":
+            assert abs(x.std() - 1) < 0.05
+        assert abs((x[:, 1:] * x[:, :-1]).mean() / x.var() - p.phi) < 0.03
+        square = x**2 - (x**2).mean()
+        assert ((square[:, 1:] * square[:, :-1]).mean() / (square**2).mean() > 0.1) == (p.arch > 0)
+
+
+def test_power_is_that_of_the_published_run(spark):
+    for edge, share in ((0.003, 0.23), (0.005, 0.75), (0.0075, 0.99)):
+        r = sequential.simulate(spark, ["iid_normal"], 2000, edge=edge).first()
+        assert abs(r.passes / r.n - share) < 0.035
+
+
 def test_weight_floor(spark):
     def loop(raw, floor):
         pinned = {k for k, x in enumerate(raw) if x < floor}

@@ -51,19 +51,14 @@ def sequential_stream(weeks: DataFrame) -> DataFrame:
 
     State is six numbers for each of three bets; a terminal status absorbs. Weeks of one batch are taken in order.
     """
-    from tidemark.operators.sequential import CLIP, FIRST_WEEK, LAST_WEEK, MOST_BET, THRESHOLD
+    from tidemark.operators.sequential import CLIP, FIRST_WEEK, FRESH, LAST_WEEK, THRESHOLD
+    from tidemark.operators.sequential import bet as _bet
 
-    def bet(s: list[float], y: float) -> list[float]:
-        t, wealth, total, deviation, mean, var = s
-        wealth *= 1 + min(MOST_BET, max(0.0, mean / (var + mean * mean))) * y
-        t, total = t + 1, total + y
-        mean = total / (t + 1)
-        deviation += (y - mean) ** 2
-        return [t, wealth, total, deviation, mean, (1 + deviation) / (t + 1)]
+    def bet(state: list[float], y: float) -> list[float]:
+        return [float(x) for x in _bet(state, y)]
 
     def run(key, frames, state):
-        fresh = [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
-        a, b, m, week, status = state.get if state.exists else (fresh, fresh, fresh, 0, "RUNNING")
+        a, b, m, week, status = state.get if state.exists else (FRESH, FRESH, FRESH, 0, "RUNNING")
         a, b, m = list(a), list(b), list(m)
         out = []
         for r in pd.concat(list(frames)).sort_values("week").itertuples():
