@@ -413,3 +413,58 @@ def test_evidence(spark):
     orders = spark.createDataFrame([("o", "new", 0.0), ("p", "new", 0.0)], "client_order_id string, status string, filled_qty double")
     now = spark.createDataFrame([("o", "filled", 1.0), ("p", "new", 0.0)], orders.schema)
     assert [r.client_order_id for r in evidence.changed_orders(orders, now).collect()] == ["o"]
+
+
+def test_newest_features_are_those_of_the_newest_bar(spark):
+    from tidemark.operators import series
+    from tidemark.operators.asof import first_by
+
+    rng = random.Random(5)
+    rows = []
+    for key, n in ((1, 400), (2, 253), (3, 252), (4, 64), (5, 21), (6, 2), (7, 1)):
+        price = 50.0
+        for k in range(n):
+            price = max(1.0, price * (1 + rng.gauss(0, 0.03)))
+            rows.append((key, k, "a", price * 1.01, price * 0.98, price, float(rng.randint(0, 9) if key != 4 else 3)))
+    bars = spark.createDataFrame(rows, "security_id int, event_time int, source_version string, high double, low double, close double, volume double")
+    every = first_by(series.price_features(bars), ["security_id"], [F.desc("event_time")])
+    got = {r.security_id: r for r in series.newest_features(bars).collect()}
+    for r in every.collect():
+        for c in got[r.security_id].asDict():
+            assert (r[c] is None) == (got[r.security_id][c] is None) and (r[c] is None or math.isclose(r[c], got[r.security_id][c], rel_tol=1e-9, abs_tol=1e-12)), (r.security_id, c)
+    for n in (1, 2, 5, 63, 64):
+        for r in series.with_drawdown(bars, "d", n).filter("security_id in (1, 6)").collect():
+            closes = [x[5] for x in rows if x[0] == r.security_id and r.event_time - n < x[1] <= r.event_time]
+            assert math.isclose(r.d, min(c / max(closes[: k + 1]) - 1 for k, c in enumerate(closes)), abs_tol=1e-12)
+
+
+def test_tost_of_any_length(spark):
+    rows = [(g, t, x) for g, xs in (("one", [0.1]), ("flat", [0.0] * 5), ("long", [((t * 37) % 11 - 5) / 5000 for t in range(300)])) for t, x in enumerate(xs)]
+    got = {r.group: r for r in sequential.tost(spark.createDataFrame(rows, "g string, t int, v double"), "g", "t", "v").collect()}
+    assert got["one"].n == 1 and not got["one"].equivalent and got["flat"].equivalent
+    x = [r[2] for r in rows if r[0] == "long"]
+    n, m, mean = len(x), math.floor(4 * 3 ** (2 / 9)), sum(x) / len(x)
+    d = [v - mean for v in x]
+    lrv = sum(v * v for v in d) / n + sum(2 * (1 - j / m) * sum(d[k] * d[k - j] for k in range(j, n)) / n for j in range(1, m))
+    assert got["long"].bandwidth == m and math.isclose(got["long"].t_lower, (mean + sequential.MARGIN) / math.sqrt(lrv / n), rel_tol=1e-9)
+
+
+def test_rates_are_those_of_all_pairs(spark):
+    from tidemark.operators import calendars
+
+    rng = random.Random(1)
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    sessions = sorted(rng.sample(range(120), 70))
+    previous = {b: a for a, b in zip(sessions, sessions[1:])}
+    rates = [(s, day(o := rng.randrange(120)), day(o + rng.randrange(20)), float(k)) for k, s in enumerate(rng.choice("xy") for _ in range(150))]
+    schema = "series string, observation_date date, vintage_date date, yield_pct double"
+    asked = spark.createDataFrame([(s, day(k)) for s in "xyz" for k in sessions], "series string, accrual_date date")
+    cover = spark.createDataFrame([("x", day(-9), 1), ("y", day(10), 1)], "series string, earliest_vintage date, established_at int")
+    before = spark.createDataFrame([(day(k), day(previous[k]) if k in previous else None) for k in sessions], "session_date date, target date")
+    for r in calendars.select_rates(asked, spark.createDataFrame(rates, schema), cover, before).collect():
+        k = (r.accrual_date - day(0)).days
+        usable = [x[1:] for x in rates if x[0] == r.series and x[2] < r.accrual_date and k in previous and x[1] <= day(previous[k])]
+        if r.reason is None:
+            assert (r.observation_date, r.vintage_date, r.yield_pct) == max(usable)
+        else:
+            assert not usable or r.series == "z" or (r.series == "y" and r.accrual_date <= day(10))

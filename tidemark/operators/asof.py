@@ -94,12 +94,11 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     payload = F.struct(F.col(right_time).alias("_at"), *columns)
     lefts = left.withColumn("_row", F.struct(*left.columns)).select(*on, F.col(left_time).alias("_t"), F.lit(None).cast(_type(right, payload)).alias("_right"), F.col("_row"), F.lit(1 if direction == "backward" else 0).alias("_side"), *(F.lit(None).cast(dict(right.dtypes)[c]).alias(f"_tie{i}") for i, c in enumerate(ties)))
     rights = right.select(*on, F.col(right_time).alias("_t"), payload.alias("_right"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), F.lit(0 if direction == "backward" else 1).alias("_side"), *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)))
-    order = ["_t", "_side", *(f"_tie{i}" for i in range(len(ties)))]
-    window = Window.partitionBy(*on).orderBy(*order)
-    if direction == "backward":
-        found = F.last("_right", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    else:
-        found = F.first("_right", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    # forward is backward with time turned round, so that either way a running value is carried along
+    way = F.asc if direction == "backward" else F.desc
+    order = [way(c) for c in ("_t", "_side", *(f"_tie{i}" for i in range(len(ties))))]
+    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_right", ignorenulls=True).over(window)
     joined = lefts.unionByName(rights).withColumn("_found", found).filter(F.col("_row").isNotNull())
     return joined.select("_row.*", F.col("_found._at").alias(f"matched_{right_time}"), *(F.col(f"_found.{c}").alias(c) for c in columns))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import canonical_utc, exchange_date, iso_week
-from tidemark.operators.asof import first_by
+from tidemark.operators.asof import asof_join, first_by
 
 
 def session_line() -> Column:
@@ -109,8 +109,16 @@ def select_rates(accruals: DataFrame, rates: DataFrame, coverage: DataFrame, pre
     newest counts, in its newest vintage strictly before the accrual date.
     """
     asked = accruals.join(coverage.groupBy("series").agg(F.max_by("earliest_vintage", "established_at").alias("earliest_vintage")), "series", "left").join(previous.select(F.col("session_date").alias("accrual_date"), F.col("target").alias("previous_session")), "accrual_date", "left")
-    usable = asked.join(rates, "series", "left").filter((F.col("vintage_date") < F.col("accrual_date")) & (F.col("observation_date") <= F.col("previous_session")))
-    best = usable.groupBy("series", "accrual_date").agg(F.max_by(F.struct("observation_date", "vintage_date", "yield_pct"), F.struct("observation_date", "vintage_date")).alias("_rate"))
+    # a rate counts from the first accrual date after its vintage whose previous session has reached it: one date,
+    # as both grow with the accrual date, so the newest rate is a running value over both in order of date
+    steps = previous.filter("target is not null").select("session_date", "target")
+    seen = asof_join(rates.select("observation_date").distinct().withColumn("_k", F.lit(1)), steps.withColumn("_k", F.lit(1)), ["_k"], "observation_date", "target", ["session_date"], "forward")
+    starts = rates.join(seen.select("observation_date", F.col("session_date").alias("_reached")), "observation_date").filter("_reached is not null")
+    rate = F.struct("observation_date", "vintage_date", "yield_pct")
+    known = starts.select("series", F.greatest(F.date_add("vintage_date", 1), "_reached").alias("_at"), rate.alias("_rate"), F.lit(None).cast("date").alias("accrual_date"))
+    marks = asked.select("series", F.col("accrual_date").alias("_at"), F.lit(None).cast(known.schema["_rate"].dataType).alias("_rate"), "accrual_date").distinct()
+    running = Window.partitionBy("series").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    best = known.unionByName(marks).withColumn("_rate", F.max("_rate").over(running)).filter("accrual_date is not null").select("series", "accrual_date", "_rate")
     reason = (
         F.when(F.col("earliest_vintage").isNull(), "no_vintage_coverage")
         .when(F.col("accrual_date") <= F.col("earliest_vintage"), "before_earliest_vintage")

@@ -53,15 +53,32 @@ def atr_pct(ranges: str = "true_range", n: int = 20, w: WindowSpec | None = None
     return F.when(F.col("close") != 0, full_mean(ranges, n, w) / F.col("close"))
 
 
-def window_drawdown(n: int = 63, w: WindowSpec | None = None) -> Column:
-    """The deepest fall from a running peak inside the last n closes: one fold over the frame."""
-    start = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
+def with_drawdown(bars: DataFrame, name: str, n: int = 63, w: WindowSpec | None = None) -> DataFrame:
+    """bars with the deepest fall from a running peak inside the last n closes.
 
-    def step(acc: Column, v: Column) -> Column:
-        peak = F.greatest(acc.peak, v)
-        return F.struct(peak.alias("peak"), F.least(acc.worst, v / peak - 1).alias("worst"))
-
-    return F.aggregate(F.collect_list("close").over(trailing(n, w)), start, step, lambda acc: acc.worst)
+    A stretch of closes is its highest, its lowest and its deepest fall; two neighbouring ones make one. The
+    window is put together from stretches of doubling length, each an earlier row's: a few lags over one sort.
+    """
+    w = w or over()
+    parts = ("_hi", "_lo", "_fall")
+
+    def joined(older: dict[str, Column], newer: dict[str, Column]) -> dict[str, Column]:
+        both = F.least(older["_fall"], newer["_fall"], newer["_lo"] / older["_hi"] - 1)
+        new = {"_hi": F.greatest(older["_hi"], newer["_hi"]), "_lo": F.least(older["_lo"], newer["_lo"]), "_fall": both}
+        return {c: F.when(older["_hi"].isNull(), newer[c]).otherwise(new[c]) for c in parts}
+
+    at = lambda level: {c: F.col(f"{c}{level}") for c in parts}
+    before = lambda level, back: {c: F.lag(f"{c}{level}", back).over(w) for c in parts}
+    out = bars.withColumns({"_hi0": F.col("close"), "_lo0": F.col("close"), "_fall0": F.when(F.col("close").isNotNull(), 0.0)})
+    levels = n.bit_length() - 1
+    for k in range(levels):
+        out = out.withColumns({f"{c}{k + 1}": v for c, v in joined(before(k, 1 << k), at(k)).items()})
+    out, seen = out.withColumns({f"{c}_all": v for c, v in at(levels).items()}), 1 << levels
+    for k in reversed(range(levels)):
+        if n >> k & 1:
+            out = out.withColumns({f"{c}_all": v for c, v in joined(before(k, seen), at("_all")).items()})
+            seen += 1 << k
+    return out.withColumn(name, F.col("_fall_all")).drop(*(f"{c}{k}" for c in parts for k in (*range(levels + 1), "_all")))
 
 
 def volume_z(n: int = 20, w: WindowSpec | None = None) -> Column:
@@ -79,7 +96,7 @@ def price_features(bars: DataFrame) -> DataFrame:
     """Every bar with the price features as of it: one sort by key feeds all windows."""
     base = F.lag("close").over(over())
     stepped = bars.withColumn("ret_1d", F.when(base > 0, F.col("close") / base - 1)).withColumn("true_range", true_range())
-    return stepped.withColumns({
+    return with_drawdown(stepped, "max_drawdown_63d").withColumns({
         "return_1m": trailing_return(21),
         "return_3m": trailing_return(63),
         "return_6m": trailing_return(126),
@@ -89,12 +106,64 @@ def price_features(bars: DataFrame) -> DataFrame:
         "sma_200d_distance": sma_distance(200),
         "realized_vol_20d": realized_vol(),
         "atr_20d_pct": atr_pct(),
-        "max_drawdown_63d": window_drawdown(),
         "volume_zscore_20d": volume_z(),
         "distance_52w_high": high_distance(),
     }).drop("ret_1d", "true_range")
 
 
+#: Bars that the longest feature looks at.
+LONGEST = 253
+
+
+def newest_features(bars: DataFrame) -> DataFrame:
+    """security_id and the price features as of each security's newest bar.
+
+    Of a key the newest LONGEST bars are packed, newest first, into one row, and every feature is computed
+    once from that array: one shuffle, in which earlier bars don't take part.
+    """
+    place = F.row_number().over(Window.partitionBy(*BY).orderBy(*(F.desc(c) for c in ORDER)))
+    tail = bars.withColumn("_place", place).filter(F.col("_place") <= LONGEST)
+    packed = tail.groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("_place", "close", "high", "low", "volume"))).alias("b"))
+    rows = packed.select(*BY, *(F.col(f"b.{c}").alias(c) for c in ("close", "high", "low", "volume")))
+    get = lambda c, i: F.get(F.col(c) if isinstance(c, str) else c, F.lit(i))
+    close, bars_seen = get("close", 0), F.size("close")
+
+    def change(new: int, old: int) -> Column:
+        return F.when(get("close", old) > 0, get("close", new) / get("close", old) - 1)
+
+    def mean(values: Column) -> Column:
+        known = F.filter(values, lambda v: v.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
+
+    def deviation(values: Column) -> Column:
+        known = F.filter(values, lambda v: v.isNotNull())
+        m = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
+        return F.when(F.size(known) > 1, F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size(known) - 1)))
+
+    def distance(n: int) -> Column:
+        m = F.when(bars_seen >= n, mean(F.slice("close", 1, n)))
+        return F.when((close != 0) & (m != 0), (close - m) / m)
+
+    twenty = F.sequence(F.lit(0), F.lit(19))
+    before = lambda i: F.get("close", i + 1)
+    returns = F.transform(twenty, lambda i: F.when(before(i) > 0, F.get("close", i) / before(i) - 1))
+    last = lambda i: F.coalesce(before(i), F.get("close", i))
+    ranges = F.transform(twenty, lambda i: F.greatest(F.get("high", i) - F.get("low", i), F.abs(F.get("high", i) - last(i)), F.abs(F.get("low", i) - last(i))))
+    fall = F.aggregate(
+        F.reverse(F.slice("close", 1, 63)), F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst")),
+        lambda s, v: F.struct(F.greatest(s.peak, v).alias("peak"), F.least(s.worst, v / F.greatest(s.peak, v) - 1).alias("worst")), lambda s: s.worst,
+    )
+    high = F.array_max(F.slice("close", 1, 252))
+    volumes = F.slice("volume", 1, 20)
+    return rows.select(
+        *BY, change(0, 21).alias("return_1m"), change(0, 63).alias("return_3m"), change(0, 126).alias("return_6m"), change(21, 252).alias("momentum_12_1"),
+        *(distance(n).alias(f"sma_{n}d_distance") for n in (20, 50, 200)), (deviation(returns) * F.sqrt(F.lit(252.0))).alias("realized_vol_20d"),
+        F.when((bars_seen >= 20) & (close != 0), mean(ranges) / close).alias("atr_20d_pct"), fall.alias("max_drawdown_63d"),
+        F.when(deviation(volumes) > 0, (get("volume", 0) - mean(volumes)) / deviation(volumes)).alias("volume_zscore_20d"),
+        F.when((close != 0) & (high != 0), (close - high) / high).alias("distance_52w_high"),
+    )
+
+
 def forward_return(horizon: int = 21, w: WindowSpec | None = None) -> tuple[Column, Column]:
     """(return, end) of the bar horizon rows later; null without one or a positive base."""
     w = w or Window.partitionBy(*BY).orderBy("event_time")

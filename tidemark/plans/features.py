@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import fundamentals as fu
 from tidemark.operators.asof import first_by, latest_version, within
 from tidemark.operators.gate import decide, eligible_training_set, feature_names, fit_logistic
-from tidemark.operators.series import over, price_features, trailing
+from tidemark.operators.series import newest_features, over, trailing
 from tidemark.operators.sizing import Limits, size_book
 from tidemark.operators.xsection import position_percentile, universe_rules
 
@@ -24,7 +24,7 @@ COUNTS = ("insider_net_open_market_buy_usd_90d", "insider_distinct_buyers_90d",
 
 def newest_price_features(bars: DataFrame) -> DataFrame:
     """Each security's features as of its newest bar."""
-    return first_by(price_features(bars), ["security_id"], [F.desc("event_time"), F.desc("source_version")]).select("security_id", *PRICE)
+    return newest_features(bars).select("security_id", *PRICE)
 
 
 def build_features(as_of: Column, members: DataFrame, bars: DataFrame, facts: DataFrame, insiders: DataFrame, news: DataFrame, version: str = "fs_v1") -> DataFrame:
@@ -79,6 +79,7 @@ def walk_forward(features: DataFrame, labelled: DataFrame, dates: Sequence[Colum
         examples = one if examples is None else examples.unionByName(one)
     names = feature_names(features)
     models = fit_logistic(examples, names, "as_of")
+    # a model for each of the dates given, which are a list on the driver
     rows = features.withColumn("as_of", F.col("event_time").cast("string")).join(F.broadcast(models.withColumnRenamed("group", "as_of")), "as_of")
     z = F.zip_with(F.arrays_zip("names", "means", "scales"), "coefficients", lambda m, c: c * (F.coalesce(F.try_element_at(F.col("values"), m.names), m.means) - m.means) / m.scales)
     total = F.col("intercept") + F.aggregate(z, F.lit(0.0), lambda a, x: a + x)

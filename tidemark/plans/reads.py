@@ -18,12 +18,13 @@ def asof_latest(spark, sf_dir):
     return asof.latest_version(facts(spark, sf_dir), ["security_id", "day"], at(AS_OF)).select("security_id", "day", "event_id", r6(F.col("value")).alias("value"))
 
 
-@query("asof_prices_lookback", f"""WITH {FACTS} SELECT security_id, day, event_id FROM facts WHERE available_at <= TIMESTAMP '{AS_OF}' AND security_id % 3 <> 1
+@query("asof_prices_lookback", f"""WITH {FACTS} SELECT security_id, day, event_id FROM facts WHERE available_at <= TIMESTAMP '{AS_OF}' AND security_id IN (SELECT s_suppkey FROM supplier)
   AND event_time > TIMESTAMP '{AS_OF}' - INTERVAL 3 DAY AND event_time <= TIMESTAMP '{AS_OF}'
   QUALIFY row_number() OVER (PARTITION BY security_id, day ORDER BY available_at DESC, source_version DESC) = 1""")
 def asof_prices_lookback(spark, sf_dir):
-    where = asof.within("event_time", at(AS_OF), "3 days"), F.col("security_id") % 3 != 1
-    return asof.latest_version(facts(spark, sf_dir), ["security_id", "day"], at(AS_OF), *where).select("security_id", "day", "event_id")
+    listed = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("security_id"))
+    asked = facts(spark, sf_dir).join(listed, "security_id", "left_semi")
+    return asof.latest_version(asked, ["security_id", "day"], at(AS_OF), asof.within("event_time", at(AS_OF), "3 days")).select("security_id", "day", "event_id")
 
 
 @query("asof_two_dates", f"""WITH {FACTS}, d AS (SELECT unnest([{', '.join(f"TIMESTAMP '{d}'" for d in DATES)}]) AS as_of)
@@ -104,9 +105,9 @@ def join_inner(spark, sf_dir):
     return o.filter("o_totalprice > 300000").join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_mktsegment")
 
 
-@query("join_left_null_test", "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("join_left_null_test", "SELECT c_custkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') o ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
 def join_left_null_test(spark, sf_dir):
-    o, c = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
+    o, c = load(spark, sf_dir, "orders").filter("o_orderstatus = 'P'"), load(spark, sf_dir, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "left").filter("o_orderkey is null").select("c_custkey")
 
 
@@ -130,11 +131,11 @@ def join_full_diff(spark, sf_dir):
     return a.join(b, "k", "full_outer").select("k", F.when(F.col("a").isNull(), "right").when(F.col("b").isNull(), "left").otherwise("both").alias("side"))
 
 
-_ASKED = "SELECT l_suppkey AS security_id, l_orderkey AS ask, l_linenumber AS line, l_shipdate + INTERVAL 1 DAY * (l_orderkey % 5 - 2) AS asked_at FROM lineitem WHERE l_partkey % 7 = 0"
+_ASKED = "SELECT l_suppkey AS security_id, l_orderkey AS ask, l_linenumber AS line, l_shipdate + INTERVAL 1 DAY * (l_orderkey % 5 - 2) AS asked_at FROM lineitem"
 
 
 def _asked(spark, sf_dir):
-    l = load(spark, sf_dir, "lineitem").filter("l_partkey % 7 = 0")
+    l = load(spark, sf_dir, "lineitem")
     shifted = F.col("l_shipdate") + F.make_dt_interval(days=(F.col("l_orderkey") % 5 - 2).cast("int"))
     return l.select(F.col("l_suppkey").alias("security_id"), F.col("l_orderkey").alias("ask"), F.col("l_linenumber").alias("line"), shifted.alias("asked_at"))
 
@@ -151,11 +152,11 @@ def asof_join_forward(spark, sf_dir):
     return out.select("security_id", "ask", "line", F.date_format("matched_event_time", "yyyy-MM-dd").alias("bar_day"), F.round("close", 9).alias("close"))
 
 
-@query("nearest_within_tolerance", f"""WITH {BARS}, d AS (SELECT DISTINCT security_id, CAST(event_time AS DATE) AS day, close FROM bars WHERE security_id % 5 = 0), j AS (
+@query("nearest_within_tolerance", f"""WITH {BARS}, d AS (SELECT DISTINCT security_id, CAST(event_time AS DATE) AS day, close FROM bars), j AS (
   SELECT a.security_id, a.day, b.close AS near, row_number() OVER (PARTITION BY a.security_id, a.day ORDER BY abs(b.day - (a.day - 365)) NULLS LAST, b.day) AS k
   FROM d a LEFT JOIN d b ON a.security_id = b.security_id AND abs(b.day - (a.day - 365)) <= 10) SELECT security_id, CAST(day AS VARCHAR) AS day, round(near, 9) AS near FROM j WHERE k = 1""")
 def nearest_within_tolerance(spark, sf_dir):
-    days = bars(spark, sf_dir).filter("security_id % 5 = 0").select("security_id", F.to_date("event_time").alias("day"), "close")
+    days = bars(spark, sf_dir).select("security_id", F.to_date("event_time").alias("day"), "close")
     out = asof.nearest_within(days.select("security_id", "day"), days, ["security_id"], F.date_sub("day", 365), "day", 10, "close", "near")
     return out.select("security_id", F.col("day").cast("string").alias("day"), F.round("near", 9).alias("near"))
 
@@ -268,9 +269,9 @@ def json_explode(spark, sf_dir):
     return parsed.filter("name = 'k' and k > 90").select("event_id", "k")
 
 
-@query("arrays_zip_rows", """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS a, list(event_type ORDER BY event_id) AS b FROM events WHERE event_id % 5 = 0 GROUP BY 1) SELECT user_id, unnest(a) AS event_id, unnest(b) AS event_type FROM g""")
+@query("arrays_zip_rows", """WITH g AS (SELECT user_id, list(event_id ORDER BY event_id) AS a, list(event_type ORDER BY event_id) AS b FROM events GROUP BY 1) SELECT user_id, unnest(a) AS event_id, unnest(b) AS event_type FROM g""")
 def arrays_zip_rows(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter("event_id % 5 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
+    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("r"))
     columns = e.select("user_id", F.col("r.event_id").alias("event_id"), F.col("r.event_type").alias("event_type"))
     return columns.select("user_id", F.inline(F.arrays_zip("event_id", "event_type")))
 
