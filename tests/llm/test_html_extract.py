@@ -92,3 +92,54 @@ def test_a_page_of_another_template_is_not_empty():
     assert he.read(wrapper, bare) == ["Text in a plain element"]
     page = '<html><body><div>Top</div><div class="x"><div><p>{0} long enough text</p></div></div></body></html>'
     assert he.read(he.infer([page.format(k) for k in range(6)]), bare.replace("div", "section")) == ["Text in a plain element"]
+
+
+def test_the_wrapper_decides_where_a_page_alone_cannot():
+    page = '<html><body><div class="a"><p>{0}</p></div><div class="b"><p>{1}</p><p>{2}</p></div><div class="c">{3}</div></body></html>'
+    long = lambda k: " ".join(f"word{k}x{j}" for j in range(60))
+    pages = [page.format(f"Buy {k}", long(k), long(k + 50), f"Links {k}") for k in range(8)]
+    odd = '<html><body><div class="a"><p>Buy all of this now</p><p>an offer that goes on</p></div><div class="b"><p>Short text.</p></div><div class="c">Links</div></body></html>'
+    wrapper = he.infer([*pages, odd])
+    assert he.read(wrapper, odd) == ["Short text."]
+    nothing = {"tag": "", "marks": [], "in": [], "opt": False, "many": False}
+    assert he.read(nothing, odd) == ["Buy all of this now", "an offer that goes on"]
+
+
+def test_names_only_tip_the_scales():
+    page = '<html><body><div class="share"><p>{0}</p><p>more {0}</p><div class="related"><p>see {1}</p></div></div><div class="main-ish">{1}</div></body></html>'
+    pages = [page.format(f"a long text number {k} that varies from page to page", k) for k in range(6)]
+    assert he.read(he.infer(pages), pages[1]) == ["a long text number 1 that varies from page to page", "more a long text number 1 that varies from page to page"]
+    teaser = '<html><body><aside><p>x</p></aside><section><article><p>see {1}</p></article></section><div><p>{0}</p><p>and {0}</p></div></body></html>'
+    pages = [teaser.format(f"a long text number {k} that varies from page to page", k) for k in range(6)]
+    assert he.read(he.infer(pages), pages[2])[0].startswith("a long text number 2")
+
+
+def test_formulas_stay():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>{0}</mn></math> be</p><p><svg><text>Fig {0}</text></svg></p><select><option>no</option></select></article>"
+    assert he.read(he.infer([page.format(k) for k in range(3)]), page.format(1)) == ["Let x=1 be", "Fig 1"]
+
+
+def test_pages_without_names_against_truth(spark):
+    """The synthetic pages with every telling name taken away, against what stood between the article tags."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = F.col("html")
+    for k, name in enumerate(("article", "nav", "footer")):
+        bare = F.regexp_replace(F.regexp_replace(bare, f"<{name}>", f'<div class="x{k}">'), f"</{name}>", "</div>")
+    bare = F.regexp_replace(bare, 'class="ad"', 'class="x9"')
+    truth = {r.page_id: "\n\n".join(plain(r.html)) for r in pages.collect()}
+    got = {r.page_id: r.text for r in he.extract(pages.withColumn("html", bare)).collect()}
+    alone = {r.page_id: "\n\n".join(he._read(None, he.parse(r.html))) for r in pages.withColumn("html", bare).collect()}
+    right = lambda texts: sum(texts[i] == truth[i] for i in truth) / len(truth)
+    print("by wrapper", right(got), "by the page alone", right(alone))
+    assert right(got) > 0.95 and right(got) > right(alone)
+
+
+def test_templates_and_repeated_rows(spark):
+    one = '<html><body><div class="x"><p>{0} first template text</p><p>tail {0}</p></div></body></html>'
+    two = '<html><body><section><h2>{0}</h2><p>{0} second template text</p></section><hr></body></html>'
+    rows = [(k % 7, "http://h.example/a", (one if k % 2 else two).format(k)) for k in range(20)] + [(None, None, None), (None, "http://h.example/b", one.format(3))] * 2
+    got = he.extract(spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, wrapper string").repartition(5)).collect()
+    want = [(i, "" if h is None else f"{k} first template text\n\ntail {k}" if "first" in h else f"{k}\n\n{k} second template text") for k, (i, _, h) in [*enumerate(rows[:20]), *((3, r) for r in rows[20:])]]
+    assert sorted((r.page_id or -1, r.text) for r in got) == sorted((i or -1, t) for i, t in want)

@@ -1,9 +1,12 @@
 """Main text of web pages by wrappers: regular expressions without unions, inferred from pages of one host.
 
 A page becomes a well-formed stream of block tags and texts. Within an element, neighbouring equal groups
-fold into one repeated group. Streams of one host are aligned one after the other: where they differ, tags
-become optional groups and texts become slots. The wrapper says which of its parts hold the article; a page
-is read along its host's wrapper, and what the wrapper doesn't know is judged by where it stands.
+fold into one repeated group. Streams of one host and template (the kinds of parts that its body has) are
+aligned one after the other: where they differ, tags become optional groups and texts become slots. Every
+page of a host takes part: tasks align theirs into partial wrappers, which are then aligned with each other.
+The wrapper says which of its parts hold the article, by the text that its slots took over all pages; names
+of elements only tip the scales. A page is read along its wrapper, and what the wrapper doesn't know is
+judged by where it stands.
 """
 
 from __future__ import annotations
@@ -17,25 +20,34 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, join_unique
 
-#: Pages of a host that its wrapper is inferred from, at most, drawn by a hash.
-SAMPLE_PAGES = 12
-#: Hosts whose wrappers are broadcast.
-BROADCAST_HOSTS = 2_000
+#: Bytes of wrappers that are broadcast, and of those that a task holds before it hands them on.
+BROADCAST_BYTES, HELD_BYTES = 8 << 20, 16 << 20
+#: Partial wrappers of one template are aligned in so many groups first.
+MERGE_GROUPS = 16
 LONGEST_GROUP = 3
 #: Distinct pages that a fixed text needs to count as template, at least.
 TEMPLATE_PAGES = 3
+#: Fixed texts longer than this are kept as a digest.
+LONGEST_TEXT = 100
+#: Share of the slots' text that one child needs so that the article is looked for below it alone; that an
+#: element which names itself the article needs; and under which a part named as no article is none.
+DOMINANT, CREDIBLE, MINOR = 0.7, 0.25, 0.3
 #: Elements nested deeper belong to the one at this depth.
 DEEPEST = 150
 
 # Element names of HTML by their part in a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i img ins kbd label mark object picture q s samp small span strike strong sub sup time tt u var video wbr "
+    "math mfrac mi mn mo mover mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics svg circle ellipse g line path polygon rect text tspan".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select button object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe template select button".split())
 BOILERPLATE = frozenset("nav header footer aside form fieldset menu dialog head".split())
 MAIN = ("article", "main")
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -131,15 +143,20 @@ def parse(page: str) -> Node:
 
 # A wrapper is made of JSON values:
 #   {"tag": name, "marks": [...], "in": [parts], "opt": bool, "many": bool} an element,
-#   {"text": fixed text or None for a slot, "opt": bool, "size": characters seen, "pages": pages that have it, at least}.
+#   {"text": fixed text or None for a slot, "opt": bool, "size": characters seen, "pages": pages that have it} a text.
+# Pages and characters are weighted, a page of m copies by 1 / m.
+
+
+def fixed(text: str) -> str:
+    return text if len(text) <= LONGEST_TEXT else "\0" + xxhash.xxh64_hexdigest(text.encode())
 
 
 def _key(part: dict) -> tuple:
     return ("text",) if "tag" not in part else (part["tag"], *part["marks"])
 
 
-def _of(node: Node) -> dict:
-    parts = [{"text": c, "opt": False, "size": len(c), "pages": 1} if isinstance(c, str) else _of(c) for c in node.children]
+def _of(node: Node, weight: float = 1.0) -> dict:
+    parts = [{"text": fixed(c), "opt": False, "size": weight * len(c), "pages": weight} if isinstance(c, str) else _of(c, weight) for c in node.children]
     return {"tag": node.name, "marks": list(node.marks), "in": _folded(parts), "opt": False, "many": False}
 
 
@@ -158,7 +175,7 @@ def _folded(parts: list[dict]) -> list[dict]:
     return parts
 
 
-def _merged(a: dict, b: dict, count: Callable[[int, int], int]) -> dict:
+def _merged(a: dict, b: dict, count: Callable[[float, float], float]) -> dict:
     """The wrapper of what either accepts; both have one key. count is add for parts of different pages, else max."""
     if "tag" not in a:
         same = a["text"] is not None and a["text"] == b["text"]
@@ -166,7 +183,7 @@ def _merged(a: dict, b: dict, count: Callable[[int, int], int]) -> dict:
     return {"tag": a["tag"], "marks": a["marks"], "in": _aligned(a["in"], b["in"], count), "opt": a["opt"] or b["opt"], "many": a["many"] or b["many"]}
 
 
-def _aligned(a: list[dict], b: list[dict], count: Callable[[int, int], int]) -> list[dict]:
+def _aligned(a: list[dict], b: list[dict], count: Callable[[float, float], float]) -> list[dict]:
     keys_a, keys_b = [_key(p) for p in a], [_key(p) for p in b]
     out: list[dict] = []
     if keys_a == keys_b:
@@ -179,39 +196,61 @@ def _aligned(a: list[dict], b: list[dict], count: Callable[[int, int], int]) ->
     return _folded(out)
 
 
+def aligned(wrappers: list[dict]) -> dict:
+    out = wrappers[0]
+    for w in wrappers[1:]:
+        out = _merged(out, w, operator.add)
+    return out
+
+
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's pages, aligned one after the other; copies of a page count once."""
-    wrapper = None
+    """The wrapper of a template's pages, aligned one after the other; copies of a page count once."""
     pages = list(dict.fromkeys(pages))
-    for page in pages:
-        own = _of(parse(page))
-        wrapper = own if wrapper is None else _merged(wrapper, own, operator.add)
-    return judged(wrapper or _of(parse("")), len(pages))
+    return judged(aligned([_of(parse(p)) for p in pages] or [_of(parse(""))]), len(pages))
+
 
+def template(root: Node) -> int:
+    """A digest of the kinds of parts that a page's body has."""
+    at = root
+    while (inner := [c for c in at.children if not isinstance(c, str) and c.name in ("html", "body")]) and at.name != "body":
+        at = inner[-1]
+    kinds = sorted({(c.name, *c.marks) for c in at.children if not isinstance(c, str)})
+    return xxhash.xxh64_intdigest(repr(kinds).encode()) >> 1
 
-def _is_boilerplate(tag: str, marks) -> bool:
-    return tag in BOILERPLATE or not NOT_MAIN.isdisjoint(marks)
 
+def _no_article(tag: str) -> bool:
+    """Elements whose meaning in HTML is to be no part of the article."""
+    return tag in BOILERPLATE
 
-def _mass(part: dict) -> int:
-    """Characters in slots below that no boilerplate element holds."""
+
+def _named_away(part: dict) -> bool:
+    return not NOT_MAIN.isdisjoint(part["marks"])
+
+
+def _mass(part: dict) -> float:
+    """Characters in the slots below."""
     if "tag" not in part:
-        return part["size"] if part["text"] is None else 0
-    return 0 if _is_boilerplate(part["tag"], part["marks"]) else sum(map(_mass, part["in"]))
+        return part["size"] if part["text"] is None else 0.0
+    return 0.0 if _no_article(part["tag"]) else sum(map(_mass, part["in"]))
+
 
+def _weight(part: dict) -> float:
+    """Mass, by which a part is chosen; a name that speaks against it halves it."""
+    return _mass(part) * (0.5 if _named_away(part) else 1.0)
 
-def _mark(part: dict, name: str, value: bool) -> None:
-    part[name] = value
+
+def _mark(part: dict, whole: float) -> None:
+    """keep on part and on what is below; not on minor parts that are named as no article."""
+    part["keep"] = True
     for p in part.get("in", ()):
-        if "tag" not in p:
-            p[name] = value
-        elif not _is_boilerplate(p["tag"], p["marks"]):
-            _mark(p, name, value)
+        if "tag" in p and (_no_article(p["tag"]) or (_named_away(p) and _mass(p) < MINOR * whole)):
+            continue
+        _mark(p, whole)
 
 
 def _mains(part: dict) -> list[dict]:
     """Outermost elements that name themselves the article."""
-    if "tag" not in part or _is_boilerplate(part["tag"], part["marks"]):
+    if "tag" not in part or _no_article(part["tag"]):
         return []
     inner = [m for p in part["in"] for m in _mains(p)]
     if part["tag"] == "article" or not MAIN_WORDS.isdisjoint(part["marks"]):
@@ -219,20 +258,24 @@ def _mains(part: dict) -> list[dict]:
     return inner or ([part] if part["tag"] == "main" or "main" in part["marks"] else [])
 
 
-def judged(wrapper: dict, pages: int) -> dict:
-    """keep on each part that holds the article, but not on texts there that nearly all of so many pages share."""
+def judged(wrapper: dict, pages: float) -> dict:
+    """keep on each part that holds the article, but not on texts there that nearly all of so many pages share.
+
+    The article is what names itself so, if the slots there took a credible share of all text that varies
+    from page to page; else it is the smallest element that took nearly all of that text.
+    """
+    total = _mass(wrapper)
     mains = _mains(wrapper)
-    if mains:
-        for part in mains:
-            _mark(part, "keep", True)
-        return wrapper
-    at = wrapper
-    while (total := _mass(at)) and (best := max((p for p in at["in"] if "tag" in p), key=_mass, default=None)) and _mass(best) >= 0.7 * total and any("tag" in c for c in best["in"]):
-        at = best
-    _mark(at, "keep", True)
-    for p in _texts(at):
-        if p["text"] is not None and pages >= TEMPLATE_PAGES and 10 * p["pages"] >= 9 * pages and total:
-            p["keep"] = False
+    if not mains or sum(map(_mass, mains)) < CREDIBLE * total:
+        at, rest = wrapper, total
+        while rest and (best := max((p for p in at["in"] if "tag" in p), key=_weight, default=None)) and _mass(best) >= DOMINANT * rest and any("tag" in c for c in best["in"]):
+            at, rest = best, _mass(best)
+        mains = [at]
+    for main in mains:
+        _mark(main, sum(map(_mass, mains)))
+        for p in _texts(main):
+            if p["text"] is not None and pages > TEMPLATE_PAGES - 0.5 and 10 * p["pages"] >= 9 * pages and total:
+                p["keep"] = False
     return wrapper
 
 
@@ -249,8 +292,11 @@ def _texts(part: dict) -> Iterator[dict]:
 
 def read(wrapper: dict, page: str) -> list[str]:
     """Blocks of the page's main text, in order; of a page without any by this wrapper, those by its own."""
-    root = parse(page)
-    return _blocks(wrapper, root) or _blocks(judged(_of(root), 1), root)
+    return _read(wrapper, parse(page))
+
+
+def _read(wrapper: dict | None, root: Node) -> list[str]:
+    return (wrapper and _blocks(wrapper, root)) or _blocks(judged(_of(root), 1), root)
 
 
 def _blocks(wrapper: dict, root: Node) -> list[str]:
@@ -270,10 +316,10 @@ def _blocks(wrapper: dict, root: Node) -> list[str]:
                 at = max(at, k if part.get("many") or "tag" not in part else k + 1)
             if isinstance(c, str):
                 # a fixed text counts as template only where it is that text
-                known = keep if part is None or (part["text"] is not None and part["text"] != c) else part.get("keep", False)
+                known = keep if part is None or (part["text"] is not None and part["text"] != fixed(c)) else part.get("keep", False)
                 if known:
                     out.append(c)
-            elif _is_boilerplate(c.name, c.marks):
+            elif _no_article(c.name) or (part is None and not NOT_MAIN.isdisjoint(c.marks)):
                 continue
             elif part is None:
                 names_itself = c.name in MAIN or not MAIN_WORDS.isdisjoint(c.marks)
@@ -290,36 +336,86 @@ def _wrapper(stored: bytes) -> dict:
     return json.loads(stored)
 
 
-def _infer_host(table: pa.Table) -> pa.Table:
-    pages = sorted(h or "" for h in table.column("html").to_pylist())
-    stored = json.dumps(infer(pages), ensure_ascii=False).encode()
-    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([stored], pa.binary())})
+def _stored(wrapper: dict) -> bytes:
+    return json.dumps(wrapper, ensure_ascii=False).encode()
+
+
+_PARTIAL = "host string, template long, wrapper binary, pages double"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "template", "wrapper", "pages"])
+
+
+def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers of the pages that a task has of each host and template."""
+    held: dict[tuple, list] = {}
+    size = 0
+    for b in batches:
+        for host, page, copies in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            root = parse(page)
+            own = _of(root, 1.0 / copies)
+            key = (host, template(root))
+            if key in held:
+                held[key] = [_merged(held[key][0], own, operator.add), held[key][1] + 1.0 / copies]
+            else:
+                held[key] = [own, 1.0 / copies]
+                size += len(page)  # more than its wrapper mostly has
+            if size > HELD_BYTES:
+                yield _batch([(*k, _stored(w), n) for k, (w, n) in held.items()])
+                held, size = {}, 0
+    if held:
+        yield _batch([(*k, _stored(w), n) for k, (w, n) in held.items()])
+
+
+def _align(final: bool):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("wrapper").to_pylist(), table.column("pages").to_pylist(), strict=True))
+        wrapper, pages = aligned([json.loads(w) for w, _ in rows]), sum(n for _, n in rows)
+        first = table.slice(0, 1)
+        return pa.Table.from_batches([_batch([(first.column("host")[0].as_py(), first.column("template")[0].as_py(), _stored(judged(wrapper, pages) if final else wrapper), pages)])])
+
+    return run
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper, pages: one row for each host of pages (host, html)."""
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html")))
-    distinct = pages.select("host", "html", F.xxhash64("html").alias("digest")).dropDuplicates(["host", "digest"])
-    drawn = distinct.select("host", "html").withColumn("place", place).filter(F.col("place") <= SAMPLE_PAGES).drop("place")
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return drawn.groupBy("host").applyInArrow(_infer_host, "host string, wrapper binary").join(sizes, "host")
+    """host, template, wrapper, pages (without copies): one row for each host and template of pages (host, html)."""
+    page = F.xxhash64("html").alias("page")
+    copies = cut(pages.groupBy("host", page).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
+    counted = join_unique(pages.select("host", "html", page), copies, ["host", "page"], "copies", pages.count())
+    each = counted.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(_partial, _PARTIAL)
+    group = F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_GROUPS)).alias("g")
+    some = each.groupBy("host", "template", group).applyInArrow(_align(False), _PARTIAL)
+    return some.groupBy("host", "template").applyInArrow(_align(True), _PARTIAL)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars for each row of pages, whole pages.
 
     Blocks are joined by two line feeds. A null page is empty and has the empty text; pages with a null or
-    unreadable url share one wrapper. Rows that repeat an id are extracted each.
+    unreadable url share one host. Rows that repeat an id, or have none, are extracted each. An empty table
+    gives no rows; other columns are ignored, whatever they are called.
     """
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    known = cut(wrappers(own))
-    joined = join_unique(own, known, ["host"], "pages", own.count(), small=BROADCAST_HOSTS).select("id", "url", "html", "wrapper")
+    found = cut(wrappers(own.select("host", "html")))
+    # a page brings its host's wrappers along, of templates that several pages have: a lone page is its own wrapper
+    several = found.filter("pages > 1.5")
+    known = several.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("template", "wrapper"))).alias("wrappers"), F.sum("pages").alias("weight"))
+    size = several.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    small = (1 << 62) if size <= BROADCAST_BYTES else 0
+    joined = join_unique(own, cut(known), ["host"], "weight", own.count(), small=small).select("id", "url", "html", "wrappers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
-                texts = ["\n\n".join(read(_wrapper(w), h)) for h, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
+                texts = []
+                for k, page in enumerate(part.column(2).to_pylist()):
+                    root = parse(page)
+                    own = dict(part.column(3)[k].as_py() or ())
+                    stored = own.get(template(root))
+                    texts.append("\n\n".join(_read(_wrapper(stored) if stored else None, root)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = joined.mapInArrow(run, f"id {dict(own.dtypes)['id']}, url string, text string, n_chars long")
