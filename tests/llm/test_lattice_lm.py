@@ -79,3 +79,48 @@ def test_scores(spark, monkeypatch, size):
 
 def test_no_rows(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_score_against_every_segmentation(spark, vocabulary, names):
+    """The whole model by brute force: prior from the vocabulary's scores, one round of expectation, marginals."""
+    rows = [(k, t) for k, t in enumerate(["the cat sat", "The the dog", None, "", "zq cat", "a b", "dog dogs", "the"])] + [(None, "cat"), (3, "the cat")]
+    low = [(i, (t or "").lower().encode().split()) for i, t in rows]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    prior = vocabulary.prior()
+    rank = {n: k for n, k in names.items()}
+    assert prior[rank[b"in"]] > prior[rank["梦".encode()]] >= prior[rank[b"\x00"]]
+
+    def cuts(word):
+        if not word:
+            yield []
+        for k in range(1, len(word) + 1):
+            if word[:k] in names:
+                for rest in cuts(word[k:]):
+                    yield [names[word[:k]], *rest]
+
+    weights = np.exp(prior) * vocabulary.size
+    ends = 0
+    for i, words in low:
+        if not held(i):
+            ends += 1
+            for w in words:
+                ways = [(c, math.exp(sum(prior[p] for p in c))) for c in cuts(lm.MARK + w)]
+                total = sum(p for _, p in ways)
+                for c, p in ways:
+                    for piece in c:
+                        weights[piece] += p / total
+    whole = weights.sum() + ends + 1
+    scores = np.log(weights / whole)
+    want = sorted((i is None, i or 0, round(sum(math.log10(all_segmentations(names, scores, lm.MARK + w)) for w in words) + math.log10((ends + 1) / whole), 9)) for i, words in low)
+    got = lm.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int"), PATH).collect()
+    assert np.allclose([x[2] for x in sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 9)) for r in got)], [x[2] for x in want], atol=1e-6)
+
+
+def test_statistics_add_up_over_levels(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).cache()
+    scores = lambda: {r.doc_id: r.score for r in lm.score_documents(docs, PATH).collect()}
+    whole = scores()
+    monkeypatch.setattr(lm, "BATCH_BYTES", 4_000)
+    monkeypatch.setattr(lm, "TOGETHER_PARTS", 3)
+    again = scores()
+    assert all(math.isclose(again[i], s, rel_tol=1e-9) for i, s in whole.items())

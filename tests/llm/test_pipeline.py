@@ -147,3 +147,9 @@ def test_secret_spans_against_a_full_scan(spark):
         assert got[i].spans == text and got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == x for _, k, _ in spans) for x in range(3)]
     assert secret_scan.secret_report(df.limit(0)).count() == 0
+
+
+def test_more_rules_than_a_byte_counts():
+    rules = tuple(secret_scan.Rule(f"k{k}", f"word{k:03d}x[0-9]+z{k:03d}") for k in range(120))
+    texts = ["", "word007x12z007 word119x9z119", "x" * 50, "word050x3z050"]
+    assert [[k for *_, k in s] for s in secret_scan.find_spans(texts, rules)] == [[], [7, 119], [], [50]]

@@ -59,9 +59,13 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+def batch_count(spark: SparkSession, size: int, batch_bytes: int) -> int:
+    return max(shuffle_partitions(spark), -(-size // batch_bytes))
+
+
 def in_batches(docs: DataFrame, key: Column, size: int, batch_bytes: int, name: str = "batch") -> DataFrame:
     """docs with a batch number: hashed, of about batch_bytes of text each, so many more at larger inputs."""
-    n = max(shuffle_partitions(docs.sparkSession), -(-size // batch_bytes))
+    n = batch_count(docs.sparkSession, size, batch_bytes)
     return docs.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 

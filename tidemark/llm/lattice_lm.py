@@ -1,7 +1,7 @@
 """Language-model scores: marginal likelihood over all segmentations of the words into vocabulary pieces.
 
-The vocabulary is a public one. Its merge order gives prior piece probabilities; one round of expectation
-over the training documents' word counts, on the lattices of the distinct words, gives the probabilities
+The vocabulary is a public one, and its scores, which are merge ranks, give prior piece probabilities by
+Zipf's law; one round of expectation over the training documents' word counts, on the lattices of the distinct words, gives the probabilities
 that score. No piece reaches over a word, so a text's forward recursion is the sum of its words' ones, and
 each distinct word of the corpus is computed once. Word counts travel as packed arrays for each batch of
 documents and part of the words, and come back in the same order.
@@ -36,12 +36,15 @@ class Pieces:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names: dict[bytes, int] = {}
+        ranks: list[float] = []
         for i in range(model.get_piece_size()):
             if model.is_control(i) or model.is_unknown(i):
                 continue
             name = model.id_to_piece(i)
-            names.setdefault(bytes([int(name[3:-1], 16)]) if model.is_byte(i) else name.encode(), len(names))
-        self.size = len(names)
+            if names.setdefault(bytes([int(name[3:-1], 16)]) if model.is_byte(i) else name.encode(), len(names)) == len(ranks):
+                # bytes, which stand in for what has no piece, come after all merges
+                ranks.append(model.get_piece_size() if model.is_byte(i) else -model.get_score(i))
+        self.size, self.ranks = len(names), np.array(ranks)
         self.next: list[dict[int, int]] = [{}]
         piece = [-1]
         for name, number in names.items():
@@ -57,8 +60,8 @@ class Pieces:
         self.keys, self.to = np.array(edges, np.int64).T.copy()
 
     def prior(self) -> np.ndarray:
-        """Zipf's law over the merge order."""
-        p = 1 / (1 + np.arange(self.size))
+        """Zipf's law over the vocabulary's scores, which are merge ranks below zero."""
+        p = 1 / (1 + self.ranks)
         return np.log(p / p.sum())
 
 
@@ -153,8 +156,8 @@ _SENT = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("words", pa.bin
 _STATS = pa.schema([("slot", pa.int32()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("weights", pa.binary())])
 _BACK = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("scores", pa.binary())])
 _DONE = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-#: The parts' statistics (an array over the vocabulary each) are added up in so many groups before the driver gets them.
-SLOTS = 16
+#: So many parts' statistics (an array over the vocabulary each) are added up at a time, level by level.
+TOGETHER_PARTS = 32
 
 
 def _spark_schema(schema: pa.Schema) -> str:
@@ -215,16 +218,16 @@ def gather(path: str):
         counts = np.array([total[w] for w in known], np.float64)
         vocabulary = pieces(path)
         _, expected = word_scores(vocabulary, vocabulary.prior(), known, counts)
-        slot = table.column("part")[0].as_py() % SLOTS
+        slot = table.column("part")[0].as_py() // TOGETHER_PARTS
         return _table(_STATS, [(slot, int(counts.sum()), len(known), expected.tobytes())])
 
     return run
 
 
 def add_up(table: pa.Table) -> pa.Table:
-    """One slot's statistics in one row."""
+    """One slot's statistics in one row, for the slot of the next level."""
     weights = sum(np.frombuffer(w) for w in table.column("weights").to_pylist())
-    return _table(_STATS, [(table.column("slot")[0].as_py(), sum(table.column("tokens").to_pylist()), sum(table.column("distinct").to_pylist()), weights.tobytes())])
+    return _table(_STATS, [(table.column("slot")[0].as_py() // TOGETHER_PARTS, sum(table.column("tokens").to_pylist()), sum(table.column("distinct").to_pylist()), weights.tobytes())])
 
 
 def answer(path: str, scores: np.ndarray):
@@ -276,8 +279,9 @@ def score_texts(n: int, tokens: int, distinct: int, ends: int, end_score: float)
 def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out_fold: int = 2) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs, whole texts.
 
-    A null text is the empty one, which has its end alone. Rows that repeat an id count each. Without any
-    training text the base score is 0 for each token and the pieces keep their prior.
+    A null text is the empty one, which has its end alone. Rows that repeat an id count each, and so do rows
+    without one, in the fold of the empty text. Without any training text the base score is 0 for each token
+    and the pieces keep their prior. An empty table gives no rows; other columns are ignored.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (fold == held_out_fold).alias("held_out"))
@@ -286,8 +290,13 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     n = max(shuffle_partitions(docs.sparkSession), size // BATCH_BYTES)
     sent = cut(dealt.groupBy("batch").applyInArrow(send_words(n), _spark_schema(_SENT)))
     ends = own.filter("not held_out").count()
-    stats = sent.groupBy("part").applyInArrow(gather(path), _spark_schema(_STATS)).groupBy("slot").applyInArrow(add_up, _spark_schema(_STATS))
-    found = stats.collect()  # SLOTS rows at most
+    stats, slots = sent.groupBy("part").applyInArrow(gather(path), _spark_schema(_STATS)), -(-n // TOGETHER_PARTS)
+    while True:
+        stats = stats.groupBy("slot").applyInArrow(add_up, _spark_schema(_STATS))
+        if slots <= TOGETHER_PARTS:
+            break
+        slots = -(-slots // TOGETHER_PARTS)
+    found = stats.collect()  # a row for each of the last level's slots
     tokens, distinct = sum(r.tokens for r in found) + ends, sum(r.distinct for r in found) + (ends > 0)
     vocabulary = pieces(path)
     # the prior counts as one use of each piece

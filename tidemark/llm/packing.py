@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import in_batches, text_bytes
+from tidemark.llm.common import batch_count, in_batches, text_bytes
 
 LENGTH = 2048
 END_ID = 1
@@ -128,7 +128,8 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     table gives no rows; other columns are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    grouped = in_batches(own, F.col("id"), text_bytes(own), GROUP_BYTES)
+    size = text_bytes(own)
+    grouped = in_batches(own, F.col("id"), size, GROUP_BYTES)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,5 +158,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
         if ids:
             yield packed()
 
-    dealt = grouped.select("batch", "id", "text").repartition("batch").sortWithinPartitions("batch", "id")
+    # a partition for each batch, as hashing the batches' numbers would put several into one
+    batches = batch_count(docs.sparkSession, size, GROUP_BYTES)
+    dealt = grouped.select("batch", "id", "text").repartitionById(batches, "batch").sortWithinPartitions("batch", "id")
     return dealt.mapInArrow(run, PIECES).withColumnRenamed("id", id_col)

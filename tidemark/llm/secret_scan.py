@@ -131,7 +131,7 @@ class TrigramIndex:
     def __init__(self, texts: list[bytes], wanted: list[bytes]):
         self.n = len(texts)
         number = {t: i for i, t in enumerate(wanted)}
-        code = np.zeros(1 << 24, np.uint8)
+        code = np.zeros(1 << 24, np.uint16 if len(wanted) < 1 << 16 else np.int32)
         for t, i in number.items():
             code[int.from_bytes(t, "big")] = i + 1
         self.postings = {t: np.zeros(0, np.int64) for t in wanted}

@@ -4,8 +4,8 @@ Documents are dealt into batches by a hash of their id. A batch settles by itsel
 document of the same batch has. For the rest it hashes anchors (runs of ANCHOR words) only where the place
 modulo PERIOD lies in a difference cover: of any two places some common shift is in the cover for both, so
 equal windows of ANCHOR + PERIOD - 1 words share an anchor. Anchors that two batches have come back, and
-only windows around those are hashed in full and compared over all batches, with each batch's smallest
-document. Rows of every exchange are sorted arrays for a (batch, part of the hashes): a passage that very
+only windows around those are extended to their 13 words and compared over all batches, by a 128-bit digest
+of their bytes, with each batch's smallest document. Rows of every exchange are sorted arrays for a (batch, part of the hashes): a passage that very
 many documents share is sent once for each batch.
 """
 
@@ -46,19 +46,35 @@ class Batch:
         doc = np.repeat(np.arange(len(self.words)), self.counts)
         self.doc = doc
         self.place = np.arange(len(doc)) - self.first[doc]
-        self.window = self._all(WINDOW, 1)
-        self.check = self._all(WINDOW, 2)
+        self.window = np.concatenate([window_hashes(w, WINDOW, 1)[:c] for w, c in zip(self.words, self.counts, strict=True)] or [np.zeros(0, np.uint64)])
         self._settle()
 
-    def _all(self, size: int, seed: int) -> np.ndarray:
-        return np.concatenate([window_hashes(w, size, seed)[:c] for w, c in zip(self.words, self.counts, strict=True)] or [np.zeros(0, np.uint64)])
-
     def _settle(self) -> None:
-        """covered: a smaller document of this batch has the window; the others of a hash are its first document's."""
+        """covered: a smaller document of this batch has the window, word for word; the others of a hash are its first document's."""
         _, at, group = np.unique(self.window, return_index=True, return_inverse=True)
-        least = self.number[self.doc[at]] if len(at) else at
-        self.group = group
-        self.covered = self.number[self.doc] > least[group] if len(at) else np.zeros(0, bool)
+        if not len(at):
+            self.covered = np.zeros(0, bool)
+            return
+        self.covered = self.number[self.doc] > self.number[self.doc[at]][group]
+        # the words of each covered window against those of the first window with its hash
+        words, begin = np.concatenate(self.words), np.r_[0, np.cumsum([len(w) for w in self.words])]
+        where = begin[self.doc] + self.place
+        late = np.flatnonzero(self.covered)
+        first = where[at[group[late]]]
+        other = np.zeros(len(late), bool)
+        for k in range(WINDOW):
+            other |= words[where[late] + k] != words[first + k]
+        for w in late[other]:  # unequal windows of one hash
+            same = np.flatnonzero(self.window == self.window[w])
+            own = self.digest(w)
+            self.covered[w] = any(self.number[self.doc[x]] < self.number[self.doc[w]] and self.digest(x) == own for x in same)
+
+    def digest(self, window: int) -> bytes:
+        """128 bits of the bytes of a window's words."""
+        doc, at = self.doc[window], self.place[window]
+        starts, ends = self.bounds[doc]
+        lo, hi = int(starts[at]), int(ends[at + WINDOW - 1])
+        return hashlib.blake2b(b" ".join(self.texts[doc][lo:hi].split()), digest_size=16).digest()
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the anchors in unsettled windows, and the first window that holds each."""
@@ -80,10 +96,9 @@ def _parts(hashes: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places of its hashes) for a dealing of hashes into n parts."""
     part = (hashes % np.uint64(n)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(n + 1))
-    for k in range(n):
-        if edges[k] < edges[k + 1]:
-            yield k, order[edges[k] : edges[k + 1]]
+    own, first = np.unique(part[order], return_index=True)
+    for k, at in zip(own.tolist(), np.split(order, first[1:]), strict=bool(len(own))):
+        yield k, at
 
 
 def _keys(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -101,6 +116,7 @@ def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
 
 _SENT = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary())])
 _BACK = pa.schema([("batch", pa.int32()), ("part", pa.int32()), ("keys", pa.binary())])
+_FOUND = pa.schema([("batch", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary())])
 _WINDOWS = pa.schema([("part", pa.int32()), ("batch", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("first", pa.binary())])
 _DONE = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
@@ -151,24 +167,31 @@ def send_windows(n: int):
         at = open_[at]
         first = batch.smallest[batch.doc[at]]
         number = docs.column("batch")[0].as_py()
-        return _table(_WINDOWS, [(k, number, keys[own].tobytes(), batch.check[at[own]].astype("<u4").tobytes(), first[own].tobytes()) for k, own in _parts(keys, n)])
+        checks = _digests(batch, at)
+        return _table(_WINDOWS, [(k, number, keys[own].tobytes(), checks[own].tobytes(), first[own].tobytes()) for k, own in _parts(keys, n)])
 
     return run
 
 
+def _digests(batch: Batch, windows: np.ndarray) -> np.ndarray:
+    """Two 64-bit halves of each window's digest."""
+    return np.frombuffer(b"".join(map(batch.digest, windows.tolist())), np.uint64).reshape(-1, 2)
+
+
 def covered_elsewhere(table: pa.Table) -> pa.Table:
     """Of one part, each batch's windows that a smaller document of another batch has."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "batch", "keys", "checks", "first")), strict=True))
     if len(rows) < 2:
-        return _table(_BACK, [])
-    own = [(p, b, np.frombuffer(k, np.uint64), np.frombuffer(c, "<u4"), np.frombuffer(f, np.int64)) for p, b, k, c, f in rows]
-    keys, checks, first = (np.concatenate([x[i] for x in own]) for i in (2, 3, 4))
-    order = np.lexsort((first, checks, keys))
-    new = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)]
+        return _table(_FOUND, [])
+    own = [(b, np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64).reshape(-1, 2), np.frombuffer(f, np.int64)) for _, b, k, c, f in rows]
+    keys, checks, first = (np.concatenate([x[i] for x in own]) for i in (1, 2, 3))
+    order = np.lexsort((first, checks[:, 1], checks[:, 0], keys))
+    new = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(checks[order], axis=0) != 0).any(axis=1)]
     least = np.empty(len(keys), np.int64)
     least[order] = first[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-    edges = np.cumsum([0, *(len(x[2]) for x in own)])
-    return _table(_BACK, [(x[1], x[0], found.tobytes()) for x, lo, hi in zip(own, edges, edges[1:], strict=False) if len(found := keys[lo:hi][least[lo:hi] < first[lo:hi]])])
+    edges = np.cumsum([0, *(len(x[1]) for x in own)])
+    late = least < first
+    return _table(_FOUND, [(x[0], keys[lo:hi][late[lo:hi]].tobytes(), checks[lo:hi][late[lo:hi]].tobytes()) for x, lo, hi in zip(own, edges, edges[1:], strict=False) if late[lo:hi].any()])
 
 
 def rewrite(with_text: bool):
@@ -178,7 +201,17 @@ def rewrite(with_text: bool):
         batch = _of(docs)
         covered = batch.covered
         if elsewhere.num_rows:
-            covered = covered | np.isin(batch.window, np.concatenate([np.frombuffer(k, np.uint64) for k in elsewhere.column("keys").to_pylist()]))
+            found, checks = (np.frombuffer(b"".join(elsewhere.column(c).to_pylist()), np.uint64) for c in ("keys", "checks"))
+            order = np.argsort(found, kind="stable")
+            found, checks = found[order], checks.reshape(-1, 2)[order]
+            at = np.flatnonzero(np.isin(batch.window, found) & ~covered)
+            place = np.searchsorted(found, batch.window[at])
+            covered = covered.copy()
+            if np.any(found[1:] == found[:-1]):  # unequal windows of one hash
+                known = set(map(bytes, checks))
+                covered[at] = [batch.digest(w) in known for w in at.tolist()]
+            elif len(at):
+                covered[at] = (_digests(batch, at) == checks[place]).all(axis=1)
         rows = []
         for d, (i, text, (starts, ends)) in enumerate(zip(batch.ids, batch.texts, batch.bounds, strict=True)):
             gone = np.zeros(len(starts) + 1, np.int64)
@@ -198,7 +231,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of 13 words over it also starts in a document with a smaller id. A null text
     has no words; texts of fewer than 13 words stay. Rows with one id count as one document, rows without
-    an id as later than all others. Windows count as equal by 96 bits of hash after a shared anchor.
+    an id as later than all others. In a batch windows are compared word by word, and those that share an
+    anchor with another batch by a 128-bit digest of their bytes. An empty table gives no rows; other columns
+    are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = text_bytes(own)
@@ -207,6 +242,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = dealt.groupBy("batch").applyInArrow(send_anchors(n), _spark_schema(_SENT))
     shared = sent.groupBy("part").applyInArrow(shared_keys, _spark_schema(_BACK))
     windows = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(send_windows(n), _spark_schema(_WINDOWS))
-    elsewhere = windows.groupBy("part").applyInArrow(covered_elsewhere, _spark_schema(_BACK))
+    elsewhere = windows.groupBy("part").applyInArrow(covered_elsewhere, _spark_schema(_FOUND))
     done = dealt.groupBy("batch").cogroup(elsewhere.groupBy("batch")).applyInArrow(rewrite(with_text), _spark_schema(_DONE))
     return done.withColumnRenamed("id", id_col) if with_text else done.drop("kept").withColumnRenamed("id", id_col)
