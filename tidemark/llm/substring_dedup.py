@@ -4,8 +4,8 @@ Documents are dealt into batches by a hash of their id. A batch settles by itsel
 document of the same batch has. For the rest it hashes anchors (runs of ANCHOR words) only where the place
 modulo PERIOD lies in a difference cover: of any two places some common shift is in the cover for both, so
 equal windows of ANCHOR + PERIOD - 1 words share an anchor. Anchors that two batches have come back, and
-only windows around those are extended to their 13 words and compared over all batches, by a 128-bit digest
-of their bytes, with each batch's smallest document. Rows of every exchange are sorted arrays for a (batch, part of the hashes): a passage that very
+only windows around those are extended to their 13 words and compared over all batches, by hashes of two
+families, with each batch's smallest document. Rows of every exchange are sorted arrays for a (batch, part of the hashes): a passage that very
 many documents share is sent once for each batch.
 """
 
@@ -69,6 +69,20 @@ class Batch:
             own = self.digest(w)
             self.covered[w] = any(self.number[self.doc[x]] < self.number[self.doc[w]] and self.digest(x) == own for x in same)
 
+    def checks(self, windows: np.ndarray) -> np.ndarray:
+        """32 bits of windows by the second family of word hashes."""
+        docs, own = np.unique(self.doc[windows], return_inverse=True)
+        words = [word_hashes(self.texts[d], *self.bounds[d], 1) for d in docs]
+        if not words:
+            return np.zeros(0, "<u4")
+        at = np.r_[0, np.cumsum(list(map(len, words)))][own] + self.place[windows]
+        words = np.concatenate(words)
+        out = np.zeros(len(at), np.uint64)
+        for k in range(WINDOW):
+            out = out * np.uint64(0xA0761D6478BD642F) + words[at + k]
+            out ^= out >> np.uint64(29)
+        return (mix(out) >> np.uint64(32)).astype("<u4")
+
     def digest(self, window: int) -> bytes:
         """128 bits of the bytes of a window's words."""
         doc, at = self.doc[window], self.place[window]
@@ -167,26 +181,21 @@ def send_windows(n: int):
         at = open_[at]
         first = batch.smallest[batch.doc[at]]
         number = docs.column("batch")[0].as_py()
-        checks = _digests(batch, at)
+        checks = batch.checks(at)
         return _table(_WINDOWS, [(k, number, keys[own].tobytes(), checks[own].tobytes(), first[own].tobytes()) for k, own in _parts(keys, n)])
 
     return run
 
 
-def _digests(batch: Batch, windows: np.ndarray) -> np.ndarray:
-    """Two 64-bit halves of each window's digest."""
-    return np.frombuffer(b"".join(map(batch.digest, windows.tolist())), np.uint64).reshape(-1, 2)
-
-
 def covered_elsewhere(table: pa.Table) -> pa.Table:
     """Of one part, each batch's windows that a smaller document of another batch has."""
     rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "batch", "keys", "checks", "first")), strict=True))
     if len(rows) < 2:
         return _table(_FOUND, [])
-    own = [(b, np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint64).reshape(-1, 2), np.frombuffer(f, np.int64)) for _, b, k, c, f in rows]
+    own = [(b, np.frombuffer(k, np.uint64), np.frombuffer(c, "<u4"), np.frombuffer(f, np.int64)) for _, b, k, c, f in rows]
     keys, checks, first = (np.concatenate([x[i] for x in own]) for i in (1, 2, 3))
-    order = np.lexsort((first, checks[:, 1], checks[:, 0], keys))
-    new = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(checks[order], axis=0) != 0).any(axis=1)]
+    order = np.lexsort((first, checks, keys))
+    new = np.r_[True, (np.diff(keys[order]) != 0) | (np.diff(checks[order]) != 0)]
     least = np.empty(len(keys), np.int64)
     least[order] = first[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     edges = np.cumsum([0, *(len(x[1]) for x in own)])
@@ -201,17 +210,17 @@ def rewrite(with_text: bool):
         batch = _of(docs)
         covered = batch.covered
         if elsewhere.num_rows:
-            found, checks = (np.frombuffer(b"".join(elsewhere.column(c).to_pylist()), np.uint64) for c in ("keys", "checks"))
+            found, checks = (np.frombuffer(b"".join(elsewhere.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("checks", "<u4")))
             order = np.argsort(found, kind="stable")
-            found, checks = found[order], checks.reshape(-1, 2)[order]
+            found, checks = found[order], checks[order]
             at = np.flatnonzero(np.isin(batch.window, found) & ~covered)
-            place = np.searchsorted(found, batch.window[at])
+            lo, hi = (np.searchsorted(found, batch.window[at], side) for side in ("left", "right"))
+            own = batch.checks(at)
+            hit = np.zeros(len(at), bool)
+            for k in range(int((hi - lo).max(initial=0))):  # more than one where unequal windows have one hash
+                hit |= (lo + k < hi) & (checks[np.minimum(lo + k, len(checks) - 1)] == own)
             covered = covered.copy()
-            if np.any(found[1:] == found[:-1]):  # unequal windows of one hash
-                known = set(map(bytes, checks))
-                covered[at] = [batch.digest(w) in known for w in at.tolist()]
-            elif len(at):
-                covered[at] = (_digests(batch, at) == checks[place]).all(axis=1)
+            covered[at] = hit
         rows = []
         for d, (i, text, (starts, ends)) in enumerate(zip(batch.ids, batch.texts, batch.bounds, strict=True)):
             gone = np.zeros(len(starts) + 1, np.int64)
@@ -231,8 +240,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of 13 words over it also starts in a document with a smaller id. A null text
     has no words; texts of fewer than 13 words stay. Rows with one id count as one document, rows without
-    an id as later than all others. In a batch windows are compared word by word, and those that share an
-    anchor with another batch by a 128-bit digest of their bytes. An empty table gives no rows; other columns
+    an id as later than all others. In a batch windows are compared by 64 bits of each of their words, and
+    those that share an anchor with another batch by 64 bits of one family of hashes and 32 of another. An empty table gives no rows; other columns
     are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -8,11 +8,12 @@ import numpy as np
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _rng = np.random.default_rng(20)
-_BYTE = _rng.integers(0, 1 << 64, 256, np.uint64)
+#: Two families of hashes that have nothing in common but the word.
+_BYTES = _rng.integers(0, 1 << 64, 256, np.uint64), _rng.integers(0, 1 << 64, 256, np.uint64)
 #: Powers of an odd number modulo 2**64 weigh the bytes of a word by their place.
-_BASE = 0x9E3779B97F4A7C15
+_BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _BLOCK = 1 << 16
-_UP = np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK - 1, _BASE, np.uint64)])
+_UPS = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(_BLOCK - 1, base, np.uint64)]) for base in _BASES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,7 +32,7 @@ def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray, family: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
     if not len(starts):
         return np.zeros(0, np.uint64)
@@ -39,7 +40,7 @@ def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     ends, starts = ends - starts[0], starts - starts[0]
     place = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)]))
     long = place >= _BLOCK
-    value = _BYTE[b] * _UP[place % _BLOCK]
+    value = _BYTES[family][b] * _UPS[family][place % _BLOCK]
     if long.any():
         value[long] = mix(value[long] + (place[long] // _BLOCK).astype(np.uint64))
     total = np.r_[np.uint64(0), np.cumsum(value, dtype=np.uint64)]
