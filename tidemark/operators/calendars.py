@@ -126,3 +126,21 @@ def select_rates(accruals: DataFrame, rates: DataFrame, coverage: DataFrame, pre
         .when(F.col("_rate").isNull(), "no_usable_rate")
     )
     return asked.join(best, ["series", "accrual_date"], "left").withColumn("reason", reason).select("series", "accrual_date", "reason", *(F.when(F.col("reason").isNull(), F.col(f"_rate.{c}")).alias(c) for c in ("observation_date", "vintage_date", "yield_pct")))
+
+
+#: Run states before a commitment, and order states that are final. Fixed values.
+STARTED = ("PENDING", "INGEST_OK", "FEATURES_OK", "GATED", "AGENTS_OK")
+
+
+def work_queue(runs: DataFrame, orders: DataFrame, sessions: DataFrame, now: Column, final: Sequence[str], stale_after: str = "45 minutes") -> DataFrame:
+    """run_id, task: what is to be done again after a crash, from the stored state alone.
+
+    Live runs advance when committed, or unfinished for stale_after; anchored ones execute while their window
+    is open; every run with an order that isn't final is reconciled.
+    """
+    live = with_execution_window(runs.filter(F.col("mode") == "live"), sessions)
+    stale = F.col("status").isin(*STARTED) & (now >= F.col("started_at") + F.expr(f"interval {stale_after}"))
+    is_open = window_state(now, F.col("window_start"), F.col("window_end")) == "open"
+    task = F.when(stale | (F.col("status") == "COMMITTED"), "advance").when((F.col("status") == "ANCHORED") & F.col("window_end").isNotNull() & is_open, "execute")
+    working = orders.filter(~F.col("status").isin(*final)).select("run_id").distinct().withColumn("task", F.lit("reconcile"))
+    return live.select("run_id", task.alias("task")).filter("task is not null").unionByName(working)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, numbers, text
 from tidemark.operators import asof, committee, evidence
 from tidemark.operators import fundamentals as fu
-from tidemark.plans.bindings import BARS, bars, load, query, r6
+from tidemark.plans.bindings import load, query, r6
 from tidemark.sources import payloads, writes
 
 
@@ -133,13 +133,6 @@ def projection_without(spark, sf_dir):
     return load(spark, sf_dir, "nation").drop("n_name")
 
 
-@query("row_checks", f"""WITH {BARS}, b AS (SELECT *, CASE WHEN security_id % 6 = 0 THEN high - 1 ELSE low END AS low2 FROM bars) SELECT security_id, count(*) FILTER (low2 > close OR close > high OR low2 > high OR volume < 0) AS broken, count(*) AS n FROM b GROUP BY 1""")
-def row_checks(spark, sf_dir):
-    b = bars(spark, sf_dir).withColumn("low", F.when(F.col("security_id") % 6 == 0, F.col("high") - 1).otherwise(F.col("low")))
-    broken = (F.col("low") > F.col("close")) | (F.col("close") > F.col("high")) | (F.col("low") > F.col("high")) | (F.col("volume") < 0)
-    return b.groupBy("security_id").agg(F.count_if(broken).alias("broken"), F.count(F.lit(1)).alias("n"))
-
-
 @query("visible_versions", "SELECT o_custkey, o_orderkey FROM orders WHERE o_orderdate <= TIMESTAMP '1997-06-30' AND o_orderdate > TIMESTAMP '1997-06-30' - INTERVAL 400 DAY")
 def visible_versions(spark, sf_dir):
     """All versions that an instant sees, none left out as superseded."""

@@ -184,6 +184,37 @@ def advance(runs: DataFrame, run_ids: DataFrame, before: str, after: str) -> Dat
     return marked.withColumn("status", F.when(F.col("_go") & (F.col("status") == before), after).otherwise(F.col("status"))).drop("_go").select(*runs.columns)
 
 
+#: Run states that a halt moves, and how its reason and its request are written. Fixed values.
+HALTABLE, HALT_REASON, HALT_REQUEST = ("COMMITTED", "ANCHORED", "EXECUTED"), "kill_switch:", "halt_request_v1"
+
+
+def halted_runs(runs: DataFrame, events: DataFrame) -> DataFrame:
+    """runs after the events (run_id, trigger, triggered_at): the earliest event of a haltable run makes it PARTIAL."""
+    from tidemark.operators.asof import first_by
+
+    first = first_by(events, ["run_id"], [F.asc("triggered_at"), F.asc("trigger")]).select("run_id", F.col("trigger").alias("_why"), F.col("triggered_at").alias("_at"))
+    moves = F.col("_why").isNotNull() & F.col("status").isin(*HALTABLE)
+    moved = {"status": F.lit("PARTIAL"), "status_reason": F.concat(F.lit(HALT_REASON), "_why"), "ended_at": F.col("_at")}
+    return runs.join(first, "run_id", "left").withColumns({c: F.when(moves, v).otherwise(F.col(c)) for c, v in moved.items()}).select(*runs.columns)
+
+
+def record_halts(store: Store, runs: DataFrame, events: DataFrame) -> None:
+    """The events, the requests for references that they raise, and the runs that they move, in one commit.
+
+    Replays change nothing; a request for another instant under a known (run_id, trigger) raises.
+    """
+    keyed = with_dedupe_key(events)
+    requests = events.select("run_id", "trigger", F.col("triggered_at").alias("tau"), F.col("triggered_at").alias("requested_at"), F.lit(HALT_REQUEST).alias("source_version"))
+    known, asked = store.read("kill_switch_events", keyed.schema), store.read("halt_reference_requests", requests.schema)
+    bad = conflicts(asked, requests, ["run_id", "trigger"]).limit(5).collect()
+    if bad:
+        raise ConflictError(f"halt_reference_requests: stored keys with another payload, such as {[r.asDict() for r in bad]}")
+    store.commit({
+        "kill_switch_events": new_rows(known, keyed, ["run_id", "dedupe_key"]), "halt_reference_requests": new_rows(asked, requests, ["run_id", "trigger"]),
+        "runs": halted_runs(runs, events),
+    }, replace=["runs"])
+
+
 def upsert_anchors(anchors: DataFrame, changes: DataFrame) -> DataFrame:
     """New values where there are any. Raise on anchor_mismatches first."""
     return merged(anchors, changes, ["run_id"], {c: F.coalesce(f"new.{c}", f"old.{c}") for c in changes.columns if c != "run_id"})
@@ -248,9 +279,12 @@ def insert_calendar_range(store: Store, sessions: DataFrame, coverage: DataFrame
 CHECKS = {
     "price_bars": "open > 0 and high >= greatest(open, close, low) and low <= least(open, close) and low > 0 and volume >= 0 and source_version = feed",
     "fundamentals_asfiled": "period_start is null or period_start <= period_end",
-    "insider_txns": "shares >= 0 and (price is null or price >= 0) and txn_date <= to_date(available_at)",
+    "insider_txns": "shares >= 0 and (price is null or price >= 0) and source_version = accession",
     "trading_calendar": "open_at < close_at and event_time = open_at",
     "tbill_rates": "observation_date <= vintage_date",
+    "execution_references": """if(status = 'resolved', price is not null and source is not null and reason is null, reason is not null and price is null and source is null)
+        and if(ref_time is null or session_date is null, status <> 'resolved' and reason = 'calendar_uncovered', true)
+        and if(mode = 'backtest' and status = 'resolved', source = 'sip_last' and trade_time is not null and trade_tape is not null, true)""",
 }
 
 
