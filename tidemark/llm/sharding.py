@@ -197,5 +197,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
     parts = max(shuffle_partitions(docs.sparkSession), -(-(size or 0) // RANGE_BYTES))
     rows = placed.select("shard", "slot", "row.*").repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot")
     rows.write.partitionBy("shard").parquet(path)
-    schema = rows.drop("shard").schema.add("shard", "int")
+    schema = T.StructType([*rows.drop("shard").schema.fields, T.StructField("shard", T.IntegerType())])
     return docs.sparkSession.read.schema(schema).parquet(path)
