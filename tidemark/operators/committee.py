@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import clipped_logit, safe_div
-from tidemark.operators.xsection import imputed_zscore
+from tidemark.operators.fits import damped_newton
+from tidemark.operators.xsection import imputed_zscores
 
 HORIZONS = (5, 21, 63)
 LOGIT_CLIP = (0.02, 0.98)
@@ -35,12 +35,13 @@ def mean_of(columns: Sequence[Column]) -> Column:
 
 def quant_composite(rows: DataFrame, group: Sequence[str], value: Sequence[str] = VALUE, momentum: str = "momentum_12_1", quality: Sequence[str] = QUALITY, low_is_good: Sequence[str] = LOW_IS_GOOD) -> DataFrame:
     """rows with composite and pooled_p: the mean of value, momentum and quality scores."""
-    z = {n: imputed_zscore(F.col(n), group, n in low_is_good) for n in (*value, momentum, *quality)}
-    scored = rows.withColumns({f"_z_{k}": c for k, c in enumerate(z.values())})
-    names = {n: F.col(f"_z_{k}") for k, n in enumerate(z)}
-    composite = mean_of([mean_of([names[n] for n in value]), names[momentum], mean_of([names[n] for n in quality])])
+    names = (*value, momentum, *quality)
+    apart = rows.withColumns({f"_z_{n}": F.col(n) for n in names})
+    scored = imputed_zscores(apart, [f"_z_{n}" for n in names], group, [f"_z_{n}" for n in low_is_good])
+    z = lambda n: F.col(f"_z_{n}")
+    composite = mean_of([mean_of([z(n) for n in value]), z(momentum), mean_of([z(n) for n in quality])])
     clamped = F.least(F.greatest(F.col("composite"), F.lit(-20.0)), F.lit(20.0))
-    return scored.withColumn("composite", composite).withColumn("pooled_p", 1 / (1 + F.exp(-clamped))).drop(*(f"_z_{k}" for k in range(len(z))))
+    return scored.withColumn("composite", composite).withColumn("pooled_p", 1 / (1 + F.exp(-clamped))).drop(*(f"_z_{n}" for n in names))
 
 
 def shrinkage(periods: Column, start: int = SHRINK_FROM, tau: float = SHRINK_TAU) -> Column:
@@ -113,48 +114,23 @@ def duplicate_verdicts(verdicts: DataFrame) -> DataFrame:
 FIT = "horizon int, alpha double, beta double, active boolean, observations long, base_rate double"
 
 
-def _newton(z: np.ndarray, y: np.ndarray, w: np.ndarray, anchor: float, pull_a: float, pull_b: float) -> tuple[float, float]:
-    x, m = np.column_stack([np.ones_like(z), z]), len(z)
-    target, pull = np.array([anchor, 1.0]), np.array([pull_a, pull_b])
-
-    def cost(t: np.ndarray) -> float:
-        s = x @ t
-        return float((w * (np.logaddexp(0, s) - y * s)).sum() / m + 0.5 * (pull * (t - target) ** 2).sum())
-
-    theta = target.copy()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-(x @ theta)))
-        slope = pull * (theta - target) + x.T @ (w * (p - y)) / m
-        if np.hypot(*slope) < 1e-10:
-            break
-        curve = np.diag(pull) + (x * (w * p * (1 - p))[:, None]).T @ x / m
-        step = -np.linalg.solve(curve, slope) if np.linalg.det(curve) > 1e-14 else -slope
-        size = 1.0
-        while size > 1e-12 and cost(theta + size * step) > cost(theta) + 1e-4 * size * float(slope @ step):
-            size /= 2
-        if size <= 1e-12:
-            break
-        theta = theta + size * step
-    return float(theta[0]), float(theta[1])
-
-
 def fit_stacker(observations: DataFrame, pull_alpha: float = 1.0, pull_beta: float = 10.0, activation: int = 8, clip: tuple[float, float] = LOGIT_CLIP) -> DataFrame:
     """p = sigmoid(alpha + beta * logit) of each horizon from (horizon, logit, outcome, weight, periods).
 
     Ridge-logistic with alpha drawn to the base rate's logit and beta to 1; passes forecasts through (0, 1)
-    before activation independent periods.
+    before activation independent periods. All horizons, which are few, are fitted together by rounds of sums.
     """
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"horizon": int(rows["horizon"].iloc[0]), "alpha": 0.0, "beta": 1.0, "active": False, "observations": len(rows), "base_rate": None}
-        w, y = rows["weight"].to_numpy(float), rows["outcome"].to_numpy(float)
-        if rows["periods"].iloc[0] >= activation and w.sum() > 0:
-            base = min(max(float((w * y).sum() / w.sum()), clip[0]), clip[1])
-            alpha, beta = _newton(rows["logit"].to_numpy(float), y, w, float(np.log(base / (1 - base))), pull_alpha, pull_beta)
-            out |= {"alpha": alpha, "beta": beta, "active": True, "base_rate": base}
-        return pd.DataFrame([out])
-
-    return observations.groupBy("horizon").applyInPandas(fit, FIT)
+    spark = observations.sparkSession
+    sums = observations.groupBy("horizon").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("outcome")).alias("wy"), F.min("periods").alias("periods")).orderBy("horizon").collect()
+    if not sums:
+        return spark.createDataFrame([], FIT)
+    active = np.array([s.periods >= activation and s.w > 0 for s in sums])
+    base = np.array([min(max(s.wy / s.w, clip[0]), clip[1]) if a else 0.5 for s, a in zip(sums, active, strict=True)])
+    codes = spark.createDataFrame([(s.horizon, k) for k, s in enumerate(sums)], "horizon int, first int")
+    rows = observations.join(F.broadcast(codes), "horizon").select(*(F.col(c).cast("double").alias(c) for c in ("logit", "outcome", "weight")), "first", F.col("first").alias("last"))
+    theta = damped_newton(rows, np.log(base / (1 - base)), np.array([pull_alpha, pull_beta]), active)
+    made = [(s.horizon, *((float(t[0]), float(t[1]), True, s.n, float(b)) if a else (0.0, 1.0, False, s.n, None))) for s, t, b, a in zip(sums, theta, base, active, strict=True)]
+    return spark.createDataFrame(made, FIT)
 
 
 def effective_agents(history: DataFrame, alert_below: float = 2.0) -> DataFrame:

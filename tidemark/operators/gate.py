@@ -6,11 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import finite, sigmoid
 from tidemark.operators.asof import asof_join
+from tidemark.operators.fits import descend
+from tidemark.operators.ranks import with_best
 from tidemark.operators.series import forward_return
 from tidemark.operators.xsection import tercile_labels
 
@@ -43,38 +45,46 @@ def feature_names(features: DataFrame, column: str = "values") -> list[str]:
 MODEL = "group string, names array<string>, means array<double>, scales array<double>, coefficients array<double>, intercept double"
 
 
-def _descend(x: np.ndarray, y: np.ndarray, iterations: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
-    share = min(max(float(y.mean()), 1e-6), 1 - 1e-6)
-    weights, intercept = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
-    for _ in range(iterations):
-        errors = 1 / (1 + np.exp(-np.clip(intercept + x @ weights, -35, 35))) - y
-        intercept -= rate * errors.mean()
-        weights -= rate * (x.T @ errors / len(y) + l2 * weights)
-    return weights, intercept
+def _wide(examples: DataFrame, names: Sequence[str], *more: Column) -> DataFrame:
+    return examples.select(F.col("target").cast("double").alias("target"), *(finite(F.col("values")[n]).alias(f"f{k}") for k, n in enumerate(names)), *more)
 
 
-def fit_logistic(examples: DataFrame, names: Sequence[str], group: str, iterations: int = 300, rate: float = 0.08, l2: float = 0.01) -> DataFrame:
-    """One model for each group (a date or run) of examples (group, values, target), by full-batch descent.
+def _models(spark: SparkSession, groups: Sequence[str], names: Sequence[str], fitted: Sequence[dict]) -> DataFrame:
+    return spark.createDataFrame([(g, list(names), m["means"], m["scales"], m["coefficients"], m["intercept"]) for g, m in zip(groups, fitted, strict=True)], MODEL)
 
-    Missing features take the mean; scales are population deviations, 1 where there is none. A group is one
-    training set of a weekly cross-section; a model of larger sets should be fitted with the machine-learning
-    library instead.
-    """
-    names = list(names)
-    wide = examples.select(F.col(group).cast("string").alias("group"), F.col("target").cast("double").alias("target"), *(finite(F.col("values")[n]).alias(f"f{k}") for k, n in enumerate(names)))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows[[f"f{k}" for k in range(len(names))]].to_numpy(np.float64)
-        seen = ~np.isnan(x)
-        n = np.maximum(seen.sum(axis=0), 1)
-        means = np.where(seen, x, 0).sum(axis=0) / n
-        x = np.where(seen, x, means) - means
-        scales = np.sqrt((np.where(seen, x, 0) ** 2).sum(axis=0) / n)
-        scales[(scales == 0) | (seen.sum(axis=0) < 2)] = 1.0
-        weights, intercept = _descend(x / scales, rows["target"].to_numpy(np.float64), iterations, rate, l2)
-        return pd.DataFrame([{"group": rows["group"].iloc[0], "names": names, "means": means.tolist(), "scales": scales.tolist(), "coefficients": weights.tolist(), "intercept": intercept}])
+def fit_logistic(examples: DataFrame, names: Sequence[str], group: str, iterations: int = 300, rate: float = 0.08, l2: float = 0.01) -> DataFrame:
+    """One model for each group (a sector or run) of examples (group, values, target), by full-batch descent.
 
-    return wide.groupBy("group").applyInPandas(fit, MODEL)
+    Missing features take the mean; scales are population deviations, 1 where there is none. The groups' names
+    and models are the driver's; the rows never are.
+    """
+    spark, names = examples.sparkSession, list(names)
+    groups = sorted((r[0] for r in examples.select(F.col(group).cast("string")).distinct().collect()), key=lambda g: (g is not None, g))
+    if not groups:
+        return spark.createDataFrame([], MODEL)
+    codes = spark.createDataFrame([(g, k) for k, g in enumerate(groups)], "_group string, first int")
+    # a row for each model, which the driver holds
+    coded = examples.join(F.broadcast(codes), F.col(group).cast("string").eqNullSafe(F.col("_group")))
+    fitted = descend(_wide(coded, names, F.col("first"), F.col("first").alias("last")), [f"f{k}" for k in range(len(names))], "target", len(groups), iterations, rate, l2)
+    return _models(spark, groups, names, fitted)
+
+
+def fit_logistic_dates(features: DataFrame, labelled: DataFrame, dates: Sequence[Column], names: Sequence[str], iterations: int = 300, rate: float = 0.08, l2: float = 0.01) -> DataFrame:
+    """One model for each of the dates, in order of time, fitted on the labels that ended strictly before it.
+
+    A row serves every date from the first after its label's end on, so that training sets overlap without a
+    copy of any row. A date without labels has a model of zeros.
+    """
+    spark, names = features.sparkSession, list(names)
+    usable = labelled.filter(F.col("label_end").isNotNull()).select("security_id", F.col("feature_time").alias("event_time"), "label_end", F.col("is_top_tercile").cast("int").alias("target"))
+    first = F.lit(0)
+    for d in dates:
+        first = first + (F.col("label_end") >= d).cast("int")
+    examples = features.join(usable, ["security_id", "event_time"]).withColumn("first", first).filter(F.col("first") < len(dates))
+    fitted = descend(_wide(examples, names, F.col("first"), F.lit(len(dates) - 1).alias("last")), [f"f{k}" for k in range(len(names))], "target", len(dates), iterations, rate, l2)
+    groups = spark.range(1).select(*(d.cast("string") for d in dates)).first()
+    return _models(spark, list(groups), names, fitted)
 
 
 def gate_score(values: Column, names: Sequence[str], means: Sequence[float], scales: Sequence[float], coefficients: Sequence[float], intercept: float) -> Column:
@@ -87,8 +97,7 @@ def gate_score(values: Column, names: Sequence[str], means: Sequence[float], sca
 
 def decide(scored: DataFrame, top_k: int, group: Sequence[str] = ("run_id",)) -> DataFrame:
     """scored with passed for the best top_k of each run, ties to the smaller security_id; all rows stay."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "security_id"))
-    return scored.withColumn("passed", place <= top_k)
+    return with_best(scored, group, F.col("score"), "security_id", top_k, "passed")
 
 
 def recall(decisions: DataFrame, labelled: DataFrame, on: Sequence[str] = ("security_id",)) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import max_vetoes, sigmoid
+from tidemark.operators.ranks import with_best, with_group
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,9 @@ def bear_factor(severity: Column, limits: Limits) -> Column:
 
 def cap_sectors(book: DataFrame, cap: float, group: Sequence[str], weight: str = "weight") -> DataFrame:
     """Sectors over the cap scaled down pro rata; what is trimmed becomes cash."""
-    total = F.sum(weight).over(Window.partitionBy(*group, "sector"))
-    return book.withColumn(weight, F.when(total > 0, F.col(weight) * F.least(F.lit(1.0), F.lit(cap) / total)).otherwise(F.col(weight)))
+    total = F.col("_total")
+    known = with_group(book, [*group, "sector"], {"_total": F.sum(weight)})
+    return known.withColumn(weight, F.when(total > 0, F.col(weight) * F.least(F.lit(1.0), F.lit(cap) / total)).otherwise(F.col(weight))).drop("_total")
 
 
 def floor_weights(book: DataFrame, least: float, weight: str = "weight") -> DataFrame:
@@ -45,12 +47,12 @@ def floor_weights(book: DataFrame, least: float, weight: str = "weight") -> Data
 
 def scale_to_target(book: DataFrame, target: float, group: Sequence[str], weight: str = "weight") -> DataFrame:
     """Weights scaled so that the diagonal volatility meets the target at most and the gross is at most 1."""
-    w = Window.partitionBy(*group)
-    vol = F.sqrt(F.sum(F.pow(F.col(weight) * F.coalesce("sigma", F.lit(0.0)), F.lit(2.0))).over(w))
-    gross = F.sum(weight).over(w)
+    squares = F.sum(F.pow(F.col(weight) * F.coalesce("sigma", F.lit(0.0)), F.lit(2.0)))
+    known = with_group(book, group, {"_vol": F.sqrt(squares), "_gross": F.sum(weight)})
+    vol, gross = F.col("_vol"), F.col("_gross")
     by_vol = F.when(vol > 0, F.least(F.lit(1.0), F.lit(target) / vol)).otherwise(1.0)
     scale = F.when(gross > 0, F.least(by_vol, 1 / gross)).otherwise(by_vol)
-    return book.withColumn("_scale", scale).withColumn(weight, F.col(weight) * F.col("_scale")).drop("_scale")
+    return known.withColumn(weight, F.col(weight) * scale).drop("_vol", "_gross")
 
 
 def size_book(decisions: DataFrame, limits: Limits = Limits(), group: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -73,12 +75,12 @@ def size_committee_book(pooled: DataFrame, limits: Limits = Limits(), group: Seq
     With one: the edge over it against the hurdle. Then position cap, sector cap, floor, scale, floor.
     """
     usable = F.coalesce(F.col("sigma") > 0, F.lit(False))
-    w = Window.partitionBy(*group)
     if base_rate is None:
-        place = F.row_number().over(Window.partitionBy(*group, usable).orderBy(F.desc("logit"), "security_id"))
-        chosen = pooled.withColumn("_in", usable & (place <= limits.rank_top_m)).withColumn("_inverse", F.when(F.col("_in"), 1.0 / F.col("sigma")))
-        raw = F.col("_inverse") / F.sum("_inverse").over(w) * bear_factor(F.col("bear_severity"), limits)
-        book = chosen.withColumn("weight", F.coalesce(raw, F.lit(0.0))).drop("_in", "_inverse")
+        # names that can't be sized come after all others, and are not taken even so
+        best = with_best(pooled, group, F.when(usable, F.col("logit")), "security_id", limits.rank_top_m, "_in")
+        chosen = with_group(best.withColumn("_inverse", F.when(F.col("_in") & usable, 1.0 / F.col("sigma"))), group, {"_all": F.sum("_inverse")})
+        raw = F.col("_inverse") / F.col("_all") * bear_factor(F.col("bear_severity"), limits)
+        book = chosen.withColumn("weight", F.coalesce(raw, F.lit(0.0))).drop("_in", "_inverse", "_all")
     else:
         edge = sigmoid(alpha + beta * F.col("logit")) - base_rate
         raw = limits.committee_k * edge / F.col("sigma") * F.greatest(F.lit(0.0), 1 - limits.committee_dispersion_lambda * F.col("dispersion")) * bear_factor(F.col("bear_severity"), limits)

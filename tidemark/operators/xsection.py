@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import finite
+from tidemark.operators.ranks import with_dense_rank, with_group, with_place
 
 LEAST_GROUP = 3
 
@@ -40,15 +41,20 @@ def group_zscore(value: Column, group: Sequence[str], least: int = LEAST_GROUP)
     return F.when(usable.isNotNull() & (F.count(usable).over(w) >= least), score)
 
 
-def imputed_zscore(value: Column, group: Sequence[str], low_is_good: bool = False) -> Column:
-    """Population z-score with missing values at the mean (0); without spread the scale is 1."""
-    usable = finite(value)
-    w = Window.partitionBy(*group)
-    mean = F.avg(usable).over(w)
-    spread = F.stddev_pop(usable).over(w)
-    scale = F.when(spread > 0, spread).otherwise(1.0)
-    score = (F.coalesce(usable, mean) - mean) / scale
-    return F.coalesce((-1.0 if low_is_good else 1.0) * score, F.lit(0.0))
+def imputed_zscores(df: DataFrame, names: Sequence[str], group: Sequence[str], low_is_good: Sequence[str] = ()) -> DataFrame:
+    """df with each of names as its population z-score, missing values at the mean (0); without spread the scale is 1.
+
+    All means and deviations of a group come from one aggregate, which is joined back.
+    """
+    usable = {n: finite(F.col(n)) for n in names}
+    stats = {f"_{what}{k}": f(c) for k, c in enumerate(usable.values()) for what, f in (("mean", F.avg), ("spread", F.stddev_pop))}
+    known = with_group(df, group, stats)
+    scores = {}
+    for k, (n, c) in enumerate(usable.items()):
+        mean, spread = F.col(f"_mean{k}"), F.col(f"_spread{k}")
+        scale = F.when(spread > 0, spread).otherwise(1.0)
+        scores[n] = F.coalesce((-1.0 if n in low_is_good else 1.0) * ((F.coalesce(c, mean) - mean) / scale), F.lit(0.0))
+    return known.withColumns(scores).drop(*stats)
 
 
 def top_share(df: DataFrame, score: Column, group: Sequence[str], share: float, tie: str, name: str) -> DataFrame:
@@ -89,8 +95,8 @@ def universe_rules(candidates: DataFrame, *, price_min: float, cap_min: float, c
         .otherwise("ok")
     )
     ruled = candidates.withColumn("reason", reason)
-    w = Window.partitionBy(*group, F.col("reason") == "ok").orderBy(F.desc_nulls_last("adv"), "security_id")
-    ranked = ruled.withColumn("rank", F.when(F.col("reason") == "ok", F.row_number().over(w)))
+    placed = with_place(ruled.filter("reason = 'ok'"), group, [F.desc_nulls_last("adv"), F.asc("security_id")], "rank")
+    ranked = placed.unionByName(ruled.filter("reason <> 'ok'").withColumn("rank", F.lit(None).cast("long")))
     included = F.coalesce(F.col("rank") <= top_n, F.lit(False))
     return ranked.withColumns({
         "included": included,
@@ -100,8 +106,10 @@ def universe_rules(candidates: DataFrame, *, price_min: float, cap_min: float, c
     })
 
 
-def entity_token(order: Column, group: Sequence[str], prefix: str = "TICKER") -> Column:
-    return F.format_string(f"{prefix}_%02d", F.dense_rank().over(Window.partitionBy(*group).orderBy(order)))
+def entity_tokens(df: DataFrame, order: str, group: Sequence[str], name: str = "token", prefix: str = "TICKER") -> DataFrame:
+    """df with a token by the rank of order among the group's distinct values."""
+    ranked = with_dense_rank(df, group, order, "_place")
+    return ranked.withColumn(name, F.format_string(f"{prefix}_%02d", "_place")).drop("_place")
 
 
 #: Sector of a SIC code: (lo, hi, sector), the first that holds it. Fixed values.

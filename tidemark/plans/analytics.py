@@ -120,7 +120,7 @@ def sector_zscore(spark, sf_dir):
 @query("universe_zscore", f"""WITH {SNAPSHOT}, m AS (SELECT security_id, CASE WHEN security_id % 7 = 0 THEN NULL ELSE close END AS v FROM snap), a AS (SELECT avg(v) AS mu, stddev_pop(v) AS sd FROM m) SELECT security_id, round(-(coalesce(v, mu) - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 5) + 0 AS z FROM m, a""")
 def universe_zscore(spark, sf_dir):
     s = snapshot(spark, sf_dir).select("security_id", F.when(F.col("security_id") % 7 != 0, F.col("close")).alias("v"), F.lit("run").alias("run_id"))
-    return s.select("security_id", (F.round(xsection.imputed_zscore(F.col("v"), ["run_id"], True), 5) + 0).alias("z"))
+    return xsection.imputed_zscores(s, ["v"], ["run_id"], ["v"]).select("security_id", (F.round("v", 5) + 0).alias("z"))
 
 
 _LABELS = f"""{BARS}, {SECTORS}, f AS (SELECT *, close AS c0, lead(close, 21) OVER {W} AS c1, lead(event_time, 21) OVER {W} AS label_end FROM bars), q AS (SELECT unnest([TIMESTAMP '1996-06-28', TIMESTAMP '1997-03-31', TIMESTAMP '1998-01-15']) AS feature_time),
@@ -557,7 +557,7 @@ def render_tsv(spark, sf_dir):
 @query("entity_tokens", f"WITH {SNAPSHOT} SELECT security_id, 'TICKER_' || lpad(CAST(dense_rank() OVER (ORDER BY security_id) AS VARCHAR), CAST(greatest(2, length(CAST(dense_rank() OVER (ORDER BY security_id) AS VARCHAR))) AS INTEGER), '0') AS token FROM snap")
 def entity_tokens(spark, sf_dir):
     s = snapshot(spark, sf_dir).withColumn("run_id", F.lit("run"))
-    return s.select("security_id", xsection.entity_token(F.col("security_id"), ["run_id"]).alias("token"))
+    return xsection.entity_tokens(s, "security_id", ["run_id"]).select("security_id", "token")
 
 
 @query("symbol_union", "SELECT 'r' AS run_id, array_to_string(list_sort(list_distinct(list(upper(trim(x))))), ',') AS symbols FROM (SELECT ' ' || s_name AS x FROM supplier UNION ALL SELECT lower(c_name) FROM customer)")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import fundamentals as fu
 from tidemark.operators.asof import first_by, latest_version, within
-from tidemark.operators.gate import decide, eligible_training_set, feature_names, fit_logistic
+from tidemark.operators.gate import decide, feature_names, fit_logistic_dates
 from tidemark.operators.series import newest_features, over, trailing
 from tidemark.operators.sizing import Limits, size_book
 from tidemark.operators.xsection import position_percentile, universe_rules
@@ -72,13 +72,10 @@ def universe_snapshots(snapshot_times: Sequence[tuple[Column, Column]], bars: Da
 
 def walk_forward(features: DataFrame, labelled: DataFrame, dates: Sequence[Column], sectors: DataFrame, volatilities: DataFrame, top_k: int, limits: Limits = Limits()) -> DataFrame:
     """as_of, security_id, score, passed, weight over the dates: at each the gate is fitted on labels that ended
-    before it, scores that date's rows, and the passing names are sized. All dates are fitted in one job."""
-    examples = None
-    for d in dates:
-        one = eligible_training_set(features, labelled, d).select(d.cast("string").alias("as_of"), "values", "target")
-        examples = one if examples is None else examples.unionByName(one)
+    before it, scores that date's rows, and the passing names are sized. All dates are fitted together. The dates
+    are in order of time."""
     names = feature_names(features)
-    models = fit_logistic(examples, names, "as_of")
+    models = fit_logistic_dates(features, labelled, dates, names)
     # a model for each of the dates given, which are a list on the driver
     rows = features.withColumn("as_of", F.col("event_time").cast("string")).join(F.broadcast(models.withColumnRenamed("group", "as_of")), "as_of")
     z = F.zip_with(F.arrays_zip("names", "means", "scales"), "coefficients", lambda m, c: c * (F.coalesce(F.try_element_at(F.col("values"), m.names), m.means) - m.means) / m.scales)
