@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,3 +130,51 @@ def binomial_upper(k: int, n: int, confidence: float = 0.99) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if below(mid) > 1 - confidence else (lo, mid)
     return (lo + hi) / 2
+
+
+# The normal distribution by rational approximations: Hart's for the probability, algorithm AS 241 for its inverse. Fixed values.
+_CDF_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+_CDF_LOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+_PPF_MIDDLE = (
+    (2.5090809287301226727e3, 3.3430575583588128105e4, 6.7265770927008700853e4, 4.5921953931549871457e4, 1.3731693765509461125e4, 1.9715909503065514427e3, 1.3314166789178437745e2, 3.3871328727963666080e0),
+    (5.2264952788528545610e3, 2.8729085735721942674e4, 3.9307895800092710610e4, 2.1213794301586595867e4, 5.3941960214247511077e3, 6.8718700749205790830e2, 4.2313330701600911252e1, 1.0),
+)
+_PPF_NEAR = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258e0, 3.64784832476320460504e0, 5.76949722146069140550e0, 4.63033784615654529590e0, 1.42343711074968357734e0),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1, 6.89767334985100004550e-1, 1.67638483018380384940e0, 2.05319162663775882187e0, 1.0),
+)
+_PPF_FAR = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2, 2.96560571828504891230e-1, 1.78482653991729133580e0, 5.46378491116411436990e0, 6.65790464350110377720e0),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4, 1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_cdf(z: Column) -> Column:
+    """The probability of a standard normal value up to z."""
+    x = F.abs(z)
+    e = F.exp(-x * x / 2)
+    tail = x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))
+    p = F.when(x < 7.07106781186547, e * _polynomial(x, _CDF_TOP) / _polynomial(x, _CDF_LOW)).otherwise(e / (tail * 2.506628274631))
+    return F.when(z > 0, 1 - p).otherwise(p)
+
+
+def normal_ppf(p: Column) -> Column:
+    """The z with normal_cdf(z) = p; null outside of (0, 1)."""
+    q = p - 0.5
+    ratio = lambda r, pair: _polynomial(r, pair[0]) / _polynomial(r, pair[1])
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    far = F.when(r <= 5, ratio(r - 1.6, _PPF_NEAR)).otherwise(ratio(r - 5, _PPF_FAR))
+    middle = q * ratio(0.180625 - q * q, _PPF_MIDDLE)
+    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, middle).otherwise(F.signum(q) * far))
+
+
+def bill_accrual(yield_pct: Column, days: Column) -> Column:
+    """What a bill of that annual yield earns in so many days."""
+    return F.pow(1 + yield_pct / 100, days / 365) - 1
