@@ -143,3 +143,69 @@ def test_templates_and_repeated_rows(spark):
     got = he.extract(spark.createDataFrame([(*r, "w") for r in rows], "page_id long, url string, html string, wrapper string").repartition(5)).collect()
     want = [(i, "" if h is None else f"{k} first template text\n\ntail {k}" if "first" in h else f"{k}\n\n{k} second template text") for k, (i, _, h) in [*enumerate(rows[:20]), *((3, r) for r in rows[20:])]]
     assert sorted((r.page_id or -1, r.text) for r in got) == sorted((i or -1, t) for i, t in want)
+
+
+def _texts(kind, n, k=0):
+    return "".join(f"<p>{kind} {k} says number {i} of many things here</p>" for i in range(n))
+
+
+def _kept(pages, k=0, kind="reader"):
+    out = he.read(he.infer(pages), pages[k])
+    return [b for b in out if kind not in b], [b for b in out if kind in b]
+
+
+def test_comments_go_whatever_their_size():
+    page = lambda k: f'<article><h1>Title {k}</h1>{_texts("writer", 4, k)}<section class="comments">{_texts("reader", 60, k)}</section></article>'
+    for pages in ([page(0)], [page(k) for k in range(5)]):
+        article, comments = _kept(pages)
+        assert len(article) == 5 and not comments
+
+
+def test_comments_go_where_nothing_names_itself_the_article():
+    page = lambda k: f'<html><body><div class="x"><h1>Title {k}</h1>{_texts("writer", 4, k)}</div><section id="comments-{k}">{_texts("reader", 60, k)}</section></body></html>'
+    for pages in ([page(0)], [page(k) for k in range(5)]):
+        article, comments = _kept(pages)
+        assert len(article) == 5 and not comments
+
+
+def test_an_advert_as_long_as_the_text_goes():
+    page = lambda k: f'<article>{_texts("writer", 4, k)}<div class="advert">{_texts("seller", 4, k)}</div></article>'
+    for pages in ([page(0)], [page(k) for k in range(5)]):
+        article, adverts = _kept(pages, kind="seller")
+        assert len(article) == 4 and not adverts
+
+
+def test_a_subheading_that_all_pages_share_stays_in_the_article():
+    pages = [f"<article><h1>Title {k}</h1><h2>Summary</h2><p>Paragraph {k} of the text</p></article>" for k in range(6)]
+    for n in range(1, 7):
+        assert he.read(he.infer(pages[:n]), pages[0]) == ["Title 0", "Summary", "Paragraph 0 of the text"]
+
+
+def test_long_unlike_pages_are_aligned_in_time():
+    import time
+
+    page = lambda seed: "<body>" + "".join(f'<div class="a{k * seed % 997}">x</div><p>text {k}</p><div class="rep">y</div>' for k in range(5_000)) + "</body>"
+    began = time.perf_counter()
+    he.infer([page(3), page(7)])
+    assert time.perf_counter() - began < 10  # a second or two, where all pairs took an hour
+
+
+def test_common_is_a_common_subsequence():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        pairs = he.common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    assert he.common(list("xabcy"), list("abzc")) == [(1, 0), (2, 1), (3, 3)] and he.common(list("abc"), list("abc")) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_partial_wrappers_meet_in_a_tree(spark, monkeypatch):
+    page = "<html><body><div class='m'><p>Text number {0} of this page</p><span>{1}</span></div><div class='f'>about us</div></body></html>"
+    rows = [(k, f"http://h/{k}", page.format(k, "x" if k % 3 else "")) for k in range(60)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    run = lambda: {r.page_id: r.text for r in he.extract(docs).collect()}
+    whole = run()
+    monkeypatch.setattr(he, "MERGE_GROUPS", 2)
+    assert run() == whole and all(f"Text number {k} of this page" in t for k, t in whole.items())

@@ -153,3 +153,22 @@ def test_more_rules_than_a_byte_counts():
     rules = tuple(secret_scan.Rule(f"k{k}", f"word{k:03d}x[0-9]+z{k:03d}") for k in range(120))
     texts = ["", "word007x12z007 word119x9z119", "x" * 50, "word050x3z050"]
     assert [[k for *_, k in s] for s in secret_scan.find_spans(texts, rules)] == [[], [7, 119], [], [50]]
+
+
+def test_each_stage_is_computed_once(spark, monkeypatch):
+    """Rows that leave the first stage, counted in its tasks: as many as it keeps, whatever the later stages read."""
+    import corpus_pipeline
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(spark, docs, sf_dir):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return docs.mapInArrow(count, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("language_id", counted), *corpus_pipeline.STAGES[1:]])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert seen.value == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

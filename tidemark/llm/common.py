@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,10 +64,13 @@ def batch_count(spark: SparkSession, size: int, batch_bytes: int) -> int:
     return max(shuffle_partitions(spark), -(-size // batch_bytes))
 
 
-def in_batches(docs: DataFrame, key: Column, size: int, batch_bytes: int, name: str = "batch") -> DataFrame:
-    """docs with a batch number: hashed, of about batch_bytes of text each, so many more at larger inputs."""
+def in_batches(docs: DataFrame, keys: Sequence[str], size: int, batch_bytes: int, name: str = "batch") -> DataFrame:
+    """docs with a batch number: hashed, of about batch_bytes of text each, so many more at larger inputs.
+
+    keys should tell rows apart: with the text among them, neither rows without an id nor those that repeat one meet in one batch.
+    """
     n = batch_count(docs.sparkSession, size, batch_bytes)
-    return docs.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    return docs.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, how: str = "left", small: int = BROADCAST_ROWS) -> DataFrame:

@@ -15,8 +15,8 @@ import html
 import json
 import operator
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,16 +28,20 @@ from tidemark.llm.common import cut, join_unique
 
 #: Bytes of wrappers that are broadcast, and of those that a task holds before it hands them on.
 BROADCAST_BYTES, HELD_BYTES = 8 << 20, 16 << 20
-#: Partial wrappers of one template are aligned in so many groups first.
+#: Partial wrappers of one template that are aligned in one group, in a tree of such groups.
 MERGE_GROUPS = 16
+#: How often the parts between two aligned ones are aligned again.
+DEEPEST_GAP = 12
 LONGEST_GROUP = 3
-#: Distinct pages that a fixed text needs to count as template, at least.
+#: Distinct pages that a fixed text needs to count as template where nothing names itself the article, at least.
 TEMPLATE_PAGES = 3
 #: Fixed texts longer than this are kept as a digest.
 LONGEST_TEXT = 100
 #: Share of the slots' text that one child needs so that the article is looked for below it alone; that an
 #: element which names itself the article needs; and under which a part named as no article is none.
 DOMINANT, CREDIBLE, MINOR = 0.7, 0.25, 0.3
+#: Texts of so many characters count as paragraphs where the article is looked for outside of parts named away.
+PARAGRAPH = 20
 #: Elements nested deeper belong to the one at this depth.
 DEEPEST = 150
 
@@ -56,10 +60,15 @@ NOT_MAIN = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies disqus footer form header masthead menu modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promoted recommended related respond replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Those of them whose parts are dropped at any size; the others may name an article's box as well. Fixed values.
+NEVER_MAIN = frozenset(
+    "ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus newsletter promo promoted recommended related respond replies share sharing sidebar social sponsor sponsored subscribe subscription".split()
+)
 MAIN_WORDS = frozenset("articlebody article-body article-content entry-content post-content post-body story-body main-content".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NUMBER = re.compile(r"[-_]*[0-9]+[-_0-9]*")
 _WORD = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 
@@ -75,7 +84,11 @@ class Node:
 def _marks(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
-    found = [w for m in _ATTRIBUTE.finditer(attributes) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower())]
+    found = []
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        # numbered ids tell parts of one kind apart, which is not wanted
+        found += _WORD.findall(_NUMBER.sub(" ", value) if m[1].lower() == "id" else value)
     return tuple(sorted(set(found)))
 
 
@@ -188,14 +201,67 @@ def _aligned(a: list[dict], b: list[dict], count: Callable[[float, float], float
     out: list[dict] = []
     if keys_a == keys_b:
         return [_merged(x, y, count) for x, y in zip(a, b, strict=True)]
-    for kind, i, i2, j, j2 in SequenceMatcher(None, keys_a, keys_b, autojunk=False).get_opcodes():
-        if kind == "equal":
-            out += [_merged(x, y, count) for x, y in zip(a[i:i2], b[j:j2], strict=True)]
-        else:
-            out += [p | {"opt": True} for p in (*a[i:i2], *b[j:j2])]
+    i = j = 0
+    for x, y in (*common(keys_a, keys_b), (len(a), len(b))):
+        out += [p | {"opt": True} for p in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(_merged(a[x], b[y], count))
+        i, j = x + 1, y + 1
     return _folded(out)
 
 
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a common subsequence, in order: equal ends, then the longest one of the n-th parts of each kind on
+    both sides, and what lies between those again. n log n for n parts, but for DEEPEST_GAP repetitions."""
+    found: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b), 0)]
+    while todo:
+        i, i2, j, j2, depth = todo.pop()
+        while i < i2 and j < j2 and a[i] == b[j]:
+            found.append((i, j))
+            i, j = i + 1, j + 1
+        while i < i2 and j < j2 and a[i2 - 1] == b[j2 - 1]:
+            i2, j2 = i2 - 1, j2 - 1
+            found.append((i2, j2))
+        if i == i2 or j == j2 or depth > DEEPEST_GAP:
+            continue
+        pairs = _increasing(_numbered(a, i, i2), _numbered(b, j, j2))
+        if pairs:
+            found += pairs
+            edges = [(i - 1, j - 1), *pairs, (i2, j2)]
+            todo += [(x + 1, x2, y + 1, y2, depth + 1) for (x, y), (x2, y2) in zip(edges, edges[1:], strict=False) if x2 > x + 1 and y2 > y + 1]
+    return sorted(found)
+
+
+def _numbered(keys: list, lo: int, hi: int) -> dict[tuple, int]:
+    """(key, how many there were before) -> place."""
+    seen: dict = {}
+    out = {}
+    for k in range(lo, hi):
+        n = seen[keys[k]] = seen.get(keys[k], -1) + 1
+        out[keys[k], n] = k
+    return out
+
+
+def _increasing(a: dict[tuple, int], b: dict[tuple, int]) -> list[tuple[int, int]]:
+    """The longest run of what both have that is in order on both sides."""
+    ends: list[int] = []  # the least last place in b of a run of each length
+    tips: list[int] = []
+    pairs, before = [], []
+    for key, x in a.items():
+        if (y := b.get(key)) is None:
+            continue
+        n = bisect_left(ends, y)
+        before.append(tips[n - 1] if n else -1)
+        ends[n : n + 1], tips[n : n + 1] = [y], [len(pairs)]
+        pairs.append((x, y))
+    at, out = tips[-1] if tips else -1, []
+    while at >= 0:
+        out.append(pairs[at])
+        at = before[at]
+    return out[::-1]
+
+
 def aligned(wrappers: list[dict]) -> dict:
     out = wrappers[0]
     for w in wrappers[1:]:
@@ -227,11 +293,39 @@ def _named_away(part: dict) -> bool:
     return not NOT_MAIN.isdisjoint(part["marks"])
 
 
+def _never(part: dict) -> bool:
+    """Whether _flagged has set part aside."""
+    return part.get("never", False)
+
+
+def _flagged(part: dict) -> None:
+    """Set aside what names itself comments, adverts and the like, of any size, unless what names itself the article lies inside."""
+    for p in part["in"]:
+        if "tag" in p:
+            if not NEVER_MAIN.isdisjoint(p["marks"]) and not any(map(_mains, p["in"])):
+                p["never"] = True
+            else:
+                _flagged(p)
+
+
+def _paragraphs(part: dict) -> bool:
+    """Whether a slot that isn't set aside takes texts of PARAGRAPH characters on average."""
+    if "tag" not in part:
+        return part["text"] is None and part["size"] >= PARAGRAPH * part["pages"]
+    return not _no_article(part["tag"]) and not _never(part) and any(map(_paragraphs, part["in"]))
+
+
+def _unflagged(part: dict) -> None:
+    for p in part["in"]:
+        if p.pop("never", False) is False and "tag" in p:
+            _unflagged(p)
+
+
 def _mass(part: dict) -> float:
-    """Characters in the slots below."""
+    """Characters in the slots below, without parts that are no article."""
     if "tag" not in part:
         return part["size"] if part["text"] is None else 0.0
-    return 0.0 if _no_article(part["tag"]) else sum(map(_mass, part["in"]))
+    return 0.0 if _no_article(part["tag"]) or _never(part) else sum(map(_mass, part["in"]))
 
 
 def _weight(part: dict) -> float:
@@ -243,7 +337,7 @@ def _mark(part: dict, whole: float) -> None:
     """keep on part and on what is below; not on minor parts that are named as no article."""
     part["keep"] = True
     for p in part.get("in", ()):
-        if "tag" in p and (_no_article(p["tag"]) or (_named_away(p) and _mass(p) < MINOR * whole)):
+        if "tag" in p and (_no_article(p["tag"]) or _never(p) or (_named_away(p) and _mass(p) < MINOR * whole)):
             continue
         _mark(p, whole)
 
@@ -259,26 +353,42 @@ def _mains(part: dict) -> list[dict]:
 
 
 def judged(wrapper: dict, pages: float) -> dict:
-    """keep on each part that holds the article, but not on texts there that nearly all of so many pages share.
+    """keep on each part that holds the article.
 
     The article is what names itself so, if the slots there took a credible share of all text that varies
-    from page to page; else it is the smallest element that took nearly all of that text.
+    from page to page, and all of it that isn't named away. Else it is the smallest element that took nearly all of that
+    text, without the texts that nearly all of so many pages share. The texts of a lone page are all slots.
     """
+    if pages < 1.5:
+        _open(wrapper)
+    _flagged(wrapper)
+    if not _paragraphs(wrapper):  # such a part is the box of everything there is
+        _unflagged(wrapper)
     total = _mass(wrapper)
     mains = _mains(wrapper)
+    named = bool(mains)
     if not mains or sum(map(_mass, mains)) < CREDIBLE * total:
         at, rest = wrapper, total
         while rest and (best := max((p for p in at["in"] if "tag" in p), key=_weight, default=None)) and _mass(best) >= DOMINANT * rest and any("tag" in c for c in best["in"]):
             at, rest = best, _mass(best)
-        mains = [at]
+        mains, named = [at], False
     for main in mains:
         _mark(main, sum(map(_mass, mains)))
-        for p in _texts(main):
+        for p in () if named else _texts(main):
             if p["text"] is not None and pages > TEMPLATE_PAGES - 0.5 and 10 * p["pages"] >= 9 * pages and total:
                 p["keep"] = False
     return wrapper
 
 
+def _open(part: dict) -> None:
+    """Every text below a slot."""
+    for p in part["in"]:
+        if "tag" in p:
+            _open(p)
+        else:
+            p["text"] = None
+
+
 def _texts(part: dict) -> Iterator[dict]:
     """Texts below that no page lacks."""
     for p in part.get("in", ()):
@@ -385,9 +495,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     copies = cut(pages.groupBy("host", page).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     counted = join_unique(pages.select("host", "html", page), copies, ["host", "page"], "copies", pages.count())
     each = counted.select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(_partial, _PARTIAL)
-    group = F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_GROUPS)).alias("g")
-    some = each.groupBy("host", "template", group).applyInArrow(_align(False), _PARTIAL)
-    return some.groupBy("host", "template").applyInArrow(_align(True), _PARTIAL)
+    each = cut(each)
+    # a tree: groups of about MERGE_GROUPS partial wrappers, until no template has more
+    most = each.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    while most > MERGE_GROUPS:
+        most = -(-most // MERGE_GROUPS)
+        group = F.pmod(F.xxhash64("wrapper", F.lit(most)), F.lit(most)).alias("g")
+        each = each.groupBy("host", "template", group).applyInArrow(_align(False), _PARTIAL)
+    return each.groupBy("host", "template").applyInArrow(_align(True), _PARTIAL)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -286,7 +286,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (fold == held_out_fold).alias("held_out"))
     size = text_bytes(own)
-    dealt = in_batches(own, F.coalesce("id", F.xxhash64("text")), size, BATCH_BYTES).select("batch", "id", "text", "held_out")
+    dealt = in_batches(own, ["id", "text"], size, BATCH_BYTES).select("batch", "id", "text", "held_out")
     n = max(shuffle_partitions(docs.sparkSession), size // BATCH_BYTES)
     sent = cut(dealt.groupBy("batch").applyInArrow(send_words(n), _spark_schema(_SENT)))
     ends = own.filter("not held_out").count()

@@ -1,6 +1,6 @@
 """Packing of token sequences: first-fit decreasing over a tournament tree of free space.
 
-Documents are dealt at random (by a hash of the id) into groups, which are packed independently. In a group
+Documents are dealt at random (by a hash of id and text) into groups, which are packed independently. In a group
 full-length pieces are cut off long documents; the rests go, largest first, into the first sequence with
 room, which a tournament tree of free space finds in logarithmic time. Then the emptiest sequences are
 taken apart again: their pieces, cut where needed, fill the gaps of the others.
@@ -129,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     size = text_bytes(own)
-    grouped = in_batches(own, F.col("id"), size, GROUP_BYTES)
+    grouped = in_batches(own, ["id", "text"], size, GROUP_BYTES)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """Removal of passages that an earlier document has, by difference-cover anchors.
 
-Documents are dealt into batches by a hash of their id. A batch settles by itself which windows a smaller
+Documents are dealt into batches by a hash of id and text. A batch settles by itself which windows a smaller
 document of the same batch has. For the rest it hashes anchors (runs of ANCHOR words) only where the place
 modulo PERIOD lies in a difference cover: of any two places some common shift is in the cover for both, so
 equal windows of ANCHOR + PERIOD - 1 words share an anchor. Anchors that two batches have come back, and
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = text_bytes(own)
-    dealt = in_batches(own, F.coalesce("id", F.xxhash64("text")), size, BATCH_BYTES).select("batch", "id", "text")
+    dealt = in_batches(own, ["id", "text"], size, BATCH_BYTES).select("batch", "id", "text")
     n = max(shuffle_partitions(docs.sparkSession), size // BATCH_BYTES)
     sent = dealt.groupBy("batch").applyInArrow(send_anchors(n), _spark_schema(_SENT))
     shared = sent.groupBy("part").applyInArrow(shared_keys, _spark_schema(_BACK))
