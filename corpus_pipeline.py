@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, packing, secret_scan, simhash
+from tidemark.llm.common import cut
 
 #: SQL can't express the recurrent network, the fingerprints or the packing.
 ORACLE_SQL = None
@@ -52,7 +53,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage keeps is written once, and the next one reads it as often as it likes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for _, stage in before:
+        docs = cut(stage(spark, docs, sf_dir))
+    return last(spark, docs, sf_dir)
