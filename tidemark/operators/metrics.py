@@ -24,8 +24,7 @@ def rank_ic(df: DataFrame, group: Sequence[str], forecast: str, outcome: str, ti
     """
     both = df.filter(F.col(forecast).isNotNull() & F.col(outcome).isNotNull()).select(*group, forecast, outcome, tie)
     ranked = with_average_rank(with_average_rank(both, group, forecast, tie, "_x"), group, outcome, tie, "_y")
-    varies = (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
-    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("_x", "_y")).alias("ic"))
+    return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("ic"))
 
 
 def ic_by_offset(ics: DataFrame, period: str, step: int, by: Sequence[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.series import over
 
 SESSIONS = 21
+NOISE = 1e-12
 _ROOT = 3 - 2 * 2**0.5
 
 
@@ -27,10 +28,11 @@ def corwin_schultz(high: Column, low: Column, high_before: Column, low_before: C
 
 
 def abdi_ranaldo(high: Column, low: Column, close_before: Column, high_before: Column, low_before: Column) -> Column:
-    """The spread of two sessions from the earlier close and both mid-ranges, negative squares as zero."""
+    """The spread of two sessions from the earlier close and both mid-ranges, negative squares as zero, and what rounding leaves of zero too."""
     mid = lambda a, b: (F.log(a) + F.log(b)) / 2
     c, before, now = F.log(close_before), mid(high_before, low_before), mid(high, low)
-    return F.sqrt(F.greatest(4 * (c - before) * (c - now), F.lit(0.0)))
+    square = 4 * (c - before) * (c - now)
+    return F.when(square > NOISE, F.sqrt(square)).when(square.isNotNull(), 0.0)
 
 
 def effective_spreads(bars: DataFrame, sessions: int = SESSIONS) -> DataFrame:

@@ -66,11 +66,11 @@ def adjusted_prices(spark, sf_dir):
   r AS (SELECT e.*, coalesce(n.cash, 0) AS cash, coalesce(n.shares, 1) AS shares, CASE WHEN end_day IS NULL THEN 'no_exit' WHEN n.unknown > 0 THEN 'uninterpreted' WHEN exit_day IS NULL AND end_kind = 'stock_merger' THEN 'acquirer' END AS reason,
     CASE WHEN exit_day IS NOT NULL THEN 'bar' WHEN end_kind = 'worthless_removal' THEN 'worthless' WHEN end_rate IS NOT NULL THEN 'consideration' ELSE 'default' END AS source FROM e LEFT JOIN n ON n.security_id = e.security_id AND n.day = e.day)
   SELECT security_id, CAST(day AS VARCHAR) AS day, CAST(end_day AS VARCHAR) AS end_day, reason, CASE WHEN reason IS NULL THEN source END AS source,
-    CASE WHEN reason IS NULL THEN round((CASE source WHEN 'bar' THEN exit WHEN 'worthless' THEN 0 WHEN 'consideration' THEN end_rate ELSE 0.7 * last_close END * shares + cash) / close - 1, 6) END AS ret FROM r""")
+    CASE WHEN reason IS NULL THEN round((CASE source WHEN 'bar' THEN exit WHEN 'worthless' THEN 0 WHEN 'consideration' THEN end_rate ELSE 0.7 * last_close END * shares + cash) / close - 1, 4) END AS ret FROM r""")
 def horizon_total_returns(spark, sf_dir):
     visible = actions.visible_actions(_actions(spark, sf_dir), [F.to_timestamp_ntz(F.lit(_DATES[1]))])
     out = actions.horizon_returns(_daily_bars(spark, sf_dir), visible, 21)
-    return out.select("security_id", F.col("day").cast("string").alias("day"), F.col("end_day").cast("string").alias("end_day"), "reason", "source", r6(F.col("ret")).alias("ret"))
+    return out.select("security_id", F.col("day").cast("string").alias("day"), F.col("end_day").cast("string").alias("end_day"), "reason", "source", F.round("ret", 4).alias("ret"))
 
 
 # ---- spreads
@@ -82,11 +82,11 @@ _FRAME = "(PARTITION BY security_id ORDER BY event_time ROWS BETWEEN 20 PRECEDIN
   a AS (SELECT *, CASE WHEN low > c0 THEN low - c0 WHEN high < c0 THEN high - c0 ELSE 0 END AS gap FROM p), g AS (SELECT *, high - gap AS h, low - gap AS l FROM a),
   q AS (SELECT *, pow(ln(h / l), 2) + pow(ln(h0 / l0), 2) AS beta, pow(ln(greatest(h, h0) / least(l, l0)), 2) AS gamma, 4 * (ln(c0) - ln(h0 * l0) / 2) * (ln(c0) - ln(high * low) / 2) AS square FROM g),
   s AS (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2)) - sqrt(gamma / (3 - 2 * sqrt(2))) AS alpha FROM q),
-  d AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN greatest(2 * (exp(alpha) - 1) / (1 + exp(alpha)), 0) END AS cs, CASE WHEN c0 IS NOT NULL THEN CASE WHEN square > 0 THEN sqrt(square) ELSE 0 END END AS ar FROM s)
-  SELECT security_id, strftime(event_time, '%Y-%m-%d') AS day, CASE WHEN count(cs) OVER {_FRAME} = 21 THEN round(avg(cs) OVER {_FRAME}, 7) END AS corwin_schultz, CASE WHEN count(ar) OVER {_FRAME} = 21 THEN round(avg(ar) OVER {_FRAME}, 7) END AS abdi_ranaldo FROM d""")
+  d AS (SELECT *, CASE WHEN c0 IS NOT NULL THEN greatest(2 * (exp(alpha) - 1) / (1 + exp(alpha)), 0) END AS cs, CASE WHEN c0 IS NOT NULL THEN CASE WHEN square > 1e-12 THEN sqrt(square) ELSE 0 END END AS ar FROM s)
+  SELECT security_id, strftime(event_time, '%Y-%m-%d') AS day, CASE WHEN count(cs) OVER {_FRAME} = 21 THEN round(avg(cs) OVER {_FRAME}, 6) END AS corwin_schultz, CASE WHEN count(ar) OVER {_FRAME} = 21 THEN round(avg(ar) OVER {_FRAME}, 6) END AS abdi_ranaldo FROM d""")
 def effective_spreads(spark, sf_dir):
     out = spreads.effective_spreads(bars(spark, sf_dir))
-    return out.select("security_id", F.date_format("event_time", "yyyy-MM-dd").alias("day"), F.round("corwin_schultz", 7).alias("corwin_schultz"), F.round("abdi_ranaldo", 7).alias("abdi_ranaldo"))
+    return out.select("security_id", F.date_format("event_time", "yyyy-MM-dd").alias("day"), F.round("corwin_schultz", 6).alias("corwin_schultz"), F.round("abdi_ranaldo", 6).alias("abdi_ranaldo"))
 
 
 # ---- benchmarks: monthly returns of suppliers, rebalanced each quarter, cash at bill yields of order prices
@@ -197,7 +197,7 @@ def performance(spark, sf_dir):
 
 def _phi(z: str) -> str:
     """The normal distribution by its power series, which 120 terms settle within 6 deviations; beyond, 0 or 1 to 9 digits."""
-    return f"CASE WHEN {z} > 6 THEN 1.0 WHEN {z} < -6 THEN 0.0 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(120), lambda k: {z} * list_product(list_transform(range(1, k + 1), lambda j: {z} * {z} / (2 * j + 1))))) END"
+    return f"CASE WHEN {z} > 6 THEN 1.0 WHEN {z} < -6 THEN 0.0 ELSE 0.5 + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(120), lambda k: {z} * coalesce(list_product(list_transform(range(1, k + 1), lambda j: {z} * {z} / (2 * j + 1))), 1))) END"
 
 
 @query("deflated_sharpe", f"""WITH RECURSIVE {_TRIALS}, mean AS (SELECT *, avg(ret) OVER (PARTITION BY trial) AS mu FROM trials),
@@ -206,10 +206,10 @@ def _phi(z: str) -> str:
   half(i, p, lo, hi, step) AS (SELECT i, p, -6.0::DOUBLE, 6.0::DOUBLE, 0 FROM aims UNION ALL SELECT i, p, CASE WHEN {_phi('((lo + hi) / 2)')} < p THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_phi('((lo + hi) / 2)')} < p THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM half WHERE step < 55),
   z AS (SELECT max((lo + hi) / 2) FILTER (i = 1) AS z1, max((lo + hi) / 2) FILTER (i = 2) AS z2, max((lo + hi) / 2) FILTER (i = 3) AS z3 FROM half WHERE step = 55),
   b AS (SELECT s.*, z3, sqrt(v) * ((1 - 0.5772156649015329) * z1 + 0.5772156649015329 * z2) AS best, 1 - g3 * sharpe + (g4 - 1) / 4 * sharpe * sharpe AS u FROM s, x, z), q AS (SELECT *, (sharpe - best) * sqrt(n - 1) / sqrt(u) AS w FROM b)
-  SELECT trial, n, round(sharpe, 8) AS sharpe, round(best, 8) AS expected_best, round({_phi('w')}, 7) AS dsr, CASE WHEN sharpe > 0 THEN round(1 + u * pow(z3 / sharpe, 2), 3) END AS track_record FROM q""")
+  SELECT trial, n, round(sharpe, 8) AS sharpe, round(best, 8) AS expected_best, round({_phi('w')}, 7) AS dsr, CASE WHEN sharpe > 0 THEN round(ln(1 + u * pow(z3 / sharpe, 2)), 6) END AS log_track_record FROM q""")
 def deflated_sharpe(spark, sf_dir):
     out = metrics.deflated_sharpe(_trials(spark, sf_dir), "trial")
-    return out.select("trial", "n", F.round("sharpe", 8).alias("sharpe"), F.round("expected_best", 8).alias("expected_best"), F.round("dsr", 7).alias("dsr"), F.round("track_record", 3).alias("track_record"))
+    return out.select("trial", "n", F.round("sharpe", 8).alias("sharpe"), F.round("expected_best", 8).alias("expected_best"), F.round("dsr", 7).alias("dsr"), r6(F.log("track_record")).alias("log_track_record"))
 
 
 @query("backtest_overfitting", f"""WITH {_TRIALS}, times AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT t FROM trials)), b AS (SELECT trial, (i - n % 16) // (n // 16) AS b, ret, n // 16 * 16 AS due FROM trials JOIN times USING (t) WHERE i >= n % 16),
