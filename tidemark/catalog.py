@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.xsection import position_percentile
-from tidemark.plans import analytics, markets, reads, runs, stores  # noqa: F401  (their queries register on import)
+from tidemark.plans import analytics, builds, markets, reads, runs, stores  # noqa: F401  (their queries register on import)
 from tidemark.plans.bindings import REGISTRY, bars, sectors
 from tidemark.plans.features import newest_price_features
 
