@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,7 +45,55 @@ def cut(df: DataFrame) -> DataFrame:
         folder = sc.getCheckpointDir()
     path = f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scratches:
+        _scratches[-1].paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+_scratches: list[scratch] = []
+
+
+class scratch:  # noqa: N801
+    """with scratch(spark) as s: tables that cut writes inside are deleted at its end, but for those that s.keep was given.
+
+    What is kept has to be written before the end, so that nothing that lives on would read a deleted table
+    again, whatever is lost. Kept tables belong to the scratch around this one. Shuffles that nothing refers to any more are
+    given up as well.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], []
+
+    def __enter__(self) -> scratch:
+        _scratches.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df._written_at)
+        return df
+
+    def __exit__(self, kind, *_) -> None:
+        _scratches.remove(self)
+        if kind is not None:
+            return
+        if _scratches:
+            _scratches[-1].paths += self.kept
+        for path in set(self.paths) - set(self.kept):
+            drop(self.spark, path)
+        release(self.spark)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of plans that are done with."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, join_unique
+from tidemark.llm.common import cut, drop, join_unique, scratch
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -33,10 +33,14 @@ def connected(links: DataFrame) -> DataFrame:
 
     The link table alone is rewritten, in the cluster; a round's total tells the driver whether it is stable.
     """
+    spark = links.sparkSession
     now = cut(links.filter("a <> b").select("a", "b"))
     before = None
     while True:
-        now = cut(_small_star(_large_star(now)))
+        with scratch(spark) as s:
+            after = s.keep(cut(_small_star(_large_star(now))))
+        drop(spark, now._written_at)
+        now = after
         total = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == before:
             break

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, join_unique, small
+from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, drop, join_unique, release, scratch, small
 from tidemark.llm.components import connected
 
 SHINGLE_WORDS = 5
@@ -115,9 +115,13 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are alike."""
-    n_pairs = pairs.count()
-    if not n_pairs:
+    if pairs.isEmpty():
         return pairs
+    with scratch(pairs.sparkSession) as done:
+        return done.keep(_alike_pairs(pairs, nodes, texts))
+
+
+def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     asked = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
     asked = cut(nodes.select("s", "digest").join(asked, "s"))
 
@@ -144,25 +148,36 @@ def _labels(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
     """s, label: the groups of the sets by all alike pairs; sets that are like no other may have no row."""
     placed = nodes.select("s", "n", F.posexplode("prefix").alias("at", "h"))
     rows = placed.select("h", "s", F.shiftleft("n", 32).bitwiseOR(F.col("n") - F.col("at") - 1).alias("sizes"))  # n and left in one long
+    spark = nodes.sparkSession
     counts = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
     n_rows = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     shared = join_unique(rows, counts, ["h"], "copies", n_rows, "inner")
+    counted = counts._written_at
     shared = cut(shared.select("h", "s", F.shiftright("sizes", 32).alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).alias("left"), "copies"))
+    drop(spark, counted)
     # the member with the fewest shingles of its own is compared with the others first
     best = cut(shared.groupBy("h").agg(F.max(F.struct("left", "s", "n")).alias("best"), F.max("copies").alias("weight")))
     best = best.select("h", *(F.col(f"best.{c}").alias(f"{c}_b") for c in ("s", "n", "left")), "weight")
     star = join_unique(shared, best, ["h"], "weight", n_rows, "inner").filter("s <> s_b").filter(_may_be_alike("n", "left", "n_b", "left_b"))
     tried = cut(star.select(F.least("s", "s_b").alias("a"), F.greatest("s", "s_b").alias("b")).unionByName(likely).distinct())
+    release(spark)
     links = _verified(tried, nodes, texts)
-    labels = cut(connected(links).withColumnRenamed("node", "s"))
+    with scratch(spark) as done:
+        labels = done.keep(cut(connected(links).withColumnRenamed("node", "s")))
     known = cut(shared.drop("copies").join(small(labels), "s", "left").withColumn("label", F.coalesce("label", "s")))
+    drop(spark, shared._written_at)
     apart = known.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
     apart = cut(known.join(apart, "h", "left_semi"))
+    drop(spark, known._written_at)
+    release(spark)
     other = apart.select("h", *(F.col(c).alias(f"{c}_b") for c in ("s", "n", "left", "label")))
     met = apart.join(other, "h").filter("label < label_b").filter(_may_be_alike("n", "left", "n_b", "left_b"))
     more = met.select(F.least("s", "s_b").alias("a"), F.greatest("s", "s_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = _verified(cut(more), nodes, texts)
-    return labels if more.isEmpty() else cut(connected(links.unionByName(more)).withColumnRenamed("node", "s"))
+    if more.isEmpty():
+        return labels
+    with scratch(spark) as done:
+        return done.keep(cut(connected(links.unionByName(more)).withColumnRenamed("node", "s")))
 
 
 def without_alike(docs: DataFrame, id_col: str, text_col: str, print_of: Callable[[np.ndarray], int], likely: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -180,7 +195,8 @@ def without_alike(docs: DataFrame, id_col: str, text_col: str, print_of: Callabl
     put = cut(sets.join(small(twice), "s", "left_semi").groupBy("s").agg(F.min("digest").alias("digest"), first("n"), first("prefix"), first("fp")))
     nodes = sets.join(small(twice), "s", "left_anti").unionByName(put)
     thin = prints.select("id", "digest", "s").filter("id is not null")
-    labels = _labels(nodes, texts, likely(nodes))
+    with scratch(docs.sparkSession) as done:
+        labels = done.keep(_labels(nodes, texts, likely(nodes)))
     grouped = cut(thin.join(small(labels), "s", "left").select("id", "digest", F.coalesce("label", "s").alias("part")))
     best = cut(grouped.groupBy("part").agg(F.min(F.struct("id", "digest")).alias("best"), F.count(F.lit(1)).alias("members")).filter("members > 1"))
     found = join_unique(grouped, best, ["part"], "members", grouped.count(), "inner")
