@@ -29,7 +29,7 @@ PIECE, PIECES = 1 << 18, 16
 #: Anchors that are sent to a piece together. Rows are sent once for each block of them.
 MOST_ANCHORS = 1 << 17
 #: Rows packed together, and anchors and rows that are bounded together.
-PACK, STRIP, CHUNK = 4_096, 64, 4_096
+PACK, STRIP, CHUNK = 512, 64, 4_096
 #: Pieces whose lists are merged at a time.
 MERGE = 16
 #: No score: below all.
