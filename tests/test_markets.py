@@ -281,3 +281,36 @@ def test_partial_sums_are_added_in_spark_where_they_are_many(spark, monkeypatch)
     monkeypatch.setattr(fits, "DRIVER_NUMBERS", 1)
     assert (fits.summed(rows, ["x"], lambda m, x: x.sum(axis=0), 1, 3) == want).all()
     assert want[:, 0].tolist() == [sum(i for i in range(100) if i % 3 <= m) for m in range(3)]
+
+
+def test_walk_forward(spark):
+    """Each date's model, scores, choice and weights by hand."""
+    from tidemark.operators.sizing import Limits
+    from tidemark.plans.features import walk_forward
+
+    rng = np.random.default_rng(11)
+    rows = [(s, at(k), {"a": float(rng.normal()), "b": float(rng.normal())}) for s in range(12) for k in (0, 10, 20)]
+    labelled = [(s, e, e + dt.timedelta(days=5), bool(v["a"] + rng.normal() > 0)) for s, e, v in rows]
+    features = spark.createDataFrame(rows, "security_id long, event_time timestamp_ntz, values map<string,double>")
+    labels = spark.createDataFrame(labelled, "security_id long, feature_time timestamp_ntz, label_end timestamp_ntz, is_top_tercile boolean")
+    sectors = spark.createDataFrame([(s, f"s{s % 5}") for s in range(12)], "security_id long, sector string")
+    vols = spark.createDataFrame([(str(at(k)), s, 0.2) for s in range(12) for k in (10, 20)], "as_of string, security_id long, sigma double")
+    dates = [F.to_timestamp_ntz(F.lit(str(at(k)))) for k in (10, 20)]
+    limits = Limits(k=0.1)
+    out = walk_forward(features, labels, dates, sectors, vols, 4, limits).collect()
+    assert len(out) == 24
+    for k in (10, 20):
+        mine = [(v, y) for (_, _, v), (_, _, end, y) in zip(rows, labelled, strict=True) if end < at(k)]
+        x, y = np.array([[v["a"], v["b"]] for v, _ in mine]), np.array([float(t) for _, t in mine])
+        mean, scale = x.mean(axis=0), x.std(axis=0)
+        z, b, w = (x - mean) / scale, math.log(y.mean() / (1 - y.mean())), np.zeros(2)
+        for _ in range(300):
+            e = 1 / (1 + np.exp(-(b + z @ w))) - y
+            b, w = b - 0.08 * e.mean(), w - 0.08 * (z.T @ e / len(y) + 0.01 * w)
+        score = {s: 1 / (1 + math.exp(-(b + ((np.array([v["a"], v["b"]]) - mean) / scale) @ w))) for s, e, v in rows if e == at(k)}
+        got = {r.security_id: r for r in out if r.as_of == str(at(k))}
+        best = sorted(score, key=lambda s: (-score[s], s))[:4]
+        assert all(math.isclose(got[s].score, score[s], rel_tol=1e-9) for s in score) and {s for s in got if got[s].passed} == set(best)
+        raw = {s: min(limits.k * (score[s] - 0.5) / 0.2, limits.max_position) if s in best and score[s] >= limits.entry_threshold else 0.0 for s in score}
+        raw = {s: r if r >= limits.min_position else 0.0 for s, r in raw.items()}
+        assert all(got[s].weight <= raw[s] + 1e-12 for s in score) and sum(r > 0 for r in raw.values()) >= sum(got[s].weight > 0 for s in score) > 0

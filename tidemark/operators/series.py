@@ -136,9 +136,10 @@ def newest_features(bars: DataFrame) -> DataFrame:
         return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known))
 
     def deviation(values: Column) -> Column:
-        known = F.filter(values, lambda v: v.isNotNull())
-        m = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
-        return F.when(F.size(known) > 1, F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / (F.size(known) - 1)))
+        # values and mean are bound to names, as a lambda would compute them anew for each element
+        known = F.transform(F.array(F.filter(values, lambda v: v.isNotNull())), lambda k: F.struct(k.alias("k"), F.try_divide(F.aggregate(k, F.lit(0.0), lambda a, v: a + v), F.size(k)).alias("m")))
+        squares = lambda x: F.aggregate(x.k, F.lit(0.0), lambda a, v: a + (v - x.m) * (v - x.m))
+        return F.element_at(F.transform(known, lambda x: F.when(F.size(x.k) > 1, F.sqrt(squares(x) / (F.size(x.k) - 1)))), 1)
 
     def distance(n: int) -> Column:
         m = F.when(bars_seen >= n, mean(F.slice("close", 1, n)))
