@@ -314,3 +314,16 @@ def test_walk_forward(spark):
         raw = {s: min(limits.k * (score[s] - 0.5) / 0.2, limits.max_position) if s in best and score[s] >= limits.entry_threshold else 0.0 for s in score}
         raw = {s: r if r >= limits.min_position else 0.0 for s, r in raw.items()}
         assert all(got[s].weight <= raw[s] + 1e-12 for s in score) and sum(r > 0 for r in raw.values()) >= sum(got[s].weight > 0 for s in score) > 0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_join_over_split_keys(spark, direction):
+    """A key with most of the rows, on both sides, gives what one window over it gives."""
+    from tidemark.operators.asof import asof_join, asof_join_split
+
+    rng = random.Random(9)
+    side = lambda n, hot: [(rng.choice(["a", "b", "c"]) if rng.random() > hot else "hot", rng.randint(0, 400), k) for k in range(n)]
+    left = spark.createDataFrame(side(500, 0.8), "k string, t int, l int")
+    right = spark.createDataFrame(side(60, 0.6), "k string, u int, r int")
+    run = lambda f: sorted(map(tuple, f(left, right, ["k"], "t", "u", ["r"], direction, ["r"]).collect()), key=str)
+    assert run(asof_join_split) == run(asof_join)

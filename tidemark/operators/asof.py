@@ -89,17 +89,51 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: s
     """left with columns of right's nearest row at or before (forward: at or after) its time, or nulls.
 
     Both sides are united and sorted once within the key; no pair of rows is ever formed. Of right rows at
-    one time the largest by ties wins backward, and the smallest forward.
+    one time the largest by ties wins backward, and the smallest forward. A key is one task's: asof_join_split is for
+    keys that hold a large share of the rows.
     """
+    rows, order = _united(left, right, on, left_time, right_time, columns, direction, ties)
+    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_right", ignorenulls=True).over(window)
+    return _found(rows.withColumn("_found", found), right_time, columns)
+
+
+def asof_join_split(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], direction: str = "backward", ties: Sequence[str] = ()) -> DataFrame:
+    """asof_join for any skew: both sides are sorted into ranges of key and time, and the value at the end of a range is
+    carried over its edge. What is carried is a row for each range; keys must not be null.
+    """
+    from tidemark.sources.interim import written
+
+    rows, order = _united(left, right, on, left_time, right_time, columns, direction, ties)
+    ranges = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = [*(F.asc(c) for c in on), *order]
+    held = written(rows.repartitionByRange(ranges, *keyed).sortWithinPartitions(*keyed).withColumn("_m", F.monotonically_increasing_id()))
+    held = held.withColumn("_part", F.shiftright("_m", 33))
+    key = F.struct(*on)
+    edges = held.groupBy("_part").agg(F.min_by(key, "_m").alias("_first"), F.max_by(key, "_m").alias("_last"))
+    tails = held.filter(F.col("_right").isNotNull()).groupBy("_part", *on).agg(F.max_by("_right", "_m").alias("_tail"))
+    ends = edges.join(tails.select("_part", key.alias("_last"), "_tail"), ["_part", "_last"]).select(F.col("_part").alias("_from"), F.col("_last").alias("_first"), "_tail")
+    # a row for each range on either side; ranges are as many as shuffle partitions
+    into = edges.join(F.broadcast(ends), "_first").filter("_from < _part").groupBy("_part", "_first").agg(F.max_by("_tail", "_from").alias("_carried"))
+    own = held.withColumn("_first", key).join(F.broadcast(into), ["_part", "_first"], "left")
+    window = Window.partitionBy("_part", *on).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.coalesce(F.last("_right", ignorenulls=True).over(window), "_carried")
+    return _found(own.withColumn("_found", found), right_time, columns)
+
+
+def _united(left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], direction: str, ties: Sequence[str]) -> tuple[DataFrame, list[Column]]:
+    """Rows of both sides, left's whole in _row and right's columns in _right, and the order in which values are carried."""
     payload = F.struct(F.col(right_time).alias("_at"), *columns)
     lefts = left.withColumn("_row", F.struct(*left.columns)).select(*on, F.col(left_time).alias("_t"), F.lit(None).cast(_type(right, payload)).alias("_right"), F.col("_row"), F.lit(1 if direction == "backward" else 0).alias("_side"), *(F.lit(None).cast(dict(right.dtypes)[c]).alias(f"_tie{i}") for i, c in enumerate(ties)))
     rights = right.select(*on, F.col(right_time).alias("_t"), payload.alias("_right"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), F.lit(0 if direction == "backward" else 1).alias("_side"), *(F.col(c).alias(f"_tie{i}") for i, c in enumerate(ties)))
     # forward is backward with time turned round, so that either way a running value is carried along
     way = F.asc if direction == "backward" else F.desc
     order = [way(c) for c in ("_t", "_side", *(f"_tie{i}" for i in range(len(ties))))]
-    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("_right", ignorenulls=True).over(window)
-    joined = lefts.unionByName(rights).withColumn("_found", found).filter(F.col("_row").isNotNull())
+    return lefts.unionByName(rights), order
+
+
+def _found(rows: DataFrame, right_time: str, columns: Sequence[str]) -> DataFrame:
+    joined = rows.filter(F.col("_row").isNotNull())
     return joined.select("_row.*", F.col("_found._at").alias(f"matched_{right_time}"), *(F.col(f"_found.{c}").alias(c) for c in columns))
 
 

@@ -162,6 +162,11 @@ def clean_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text"), 80).alias("t"))
 
 
+@query("clean_text_whole", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g'), ' ') AS t FROM documents")
+def clean_text_whole(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", text.clean(F.col("text")).alias("t"))
+
+
 @query("role_tokens", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'ROLE_CEO' WHEN o_orderkey % 12 = 0 THEN 'ROLE_CFO' ELSE 'ROLE_OFFICER' END WHEN 1 THEN 'ROLE_DIRECTOR' WHEN 2 THEN 'ROLE_10PCT' ELSE 'ROLE_OTHER' END AS token FROM orders")
 def role_tokens(spark, sf_dir):
     i = F.col("o_orderkey")
