@@ -131,8 +131,8 @@ def test_fill_middle(spark, awkward):
 
 
 def test_hard_negatives(spark, awkward):
-    # of the rows that take part 0 (label 1 by its flip) and 20 (label 0) and 1 (label 1): 1 is the positive of 0, and 20 scores 0
-    assert run(spark, awkward, "op12_hard_negatives", "anchor_id", "positive_id", "negative_id") == Counter()
+    # 0 has label 1 by its flip, and 1 and the zero vector 3 as positives; 20, of label 0, scores 0: right for 3 alone
+    assert run(spark, awkward, "op12_hard_negatives", "anchor_id", "positive_id", "negative_id") == Counter({(0, 3, 20): 1})
 
 
 def test_sharding(spark, awkward):
