@@ -26,7 +26,7 @@ SEED = 42
 #: One of so many texts says which shingles are frequent, and so many of those are moved to the order's end.
 ORDER_TEXTS, ORDER_SHINGLES = 16, 100_000
 #: Texts or pairs that a worker has in memory as arrays together.
-TOGETHER = 256
+TOGETHER = 64
 #: Shingle sets that are broadcast, at most.
 BROADCAST_SETS = 2_000
 
