@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from tidemark.llm import near_dedup
 from tidemark.llm.common import BYTE_LOWER, BYTE_WORD
 
 SF = "/root/testdata/sf0.01"
@@ -70,3 +73,22 @@ def test_a_repeated_id_takes_no_other_text_with_it(spark):
     rows = [(1, "lone text of its own here"), (1, same + " x"), (0, same), (None, same)]
     out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     assert sorted((r.text for r in out)) == sorted(["lone text of its own here", same, same])
+
+
+@pytest.mark.parametrize(("most", "block"), [(4, 3), (4, 4096), (256, 5)])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, most, block):
+    """Texts that share much of a passage, of many lengths, with buckets, blocks and copies of sets far smaller than usual."""
+    for name, value in {"MOST_IN_BUCKET": most, "BLOCK": block, "PAIRS_A_COPY": 3, "BROADCAST_SHINGLES": 0, "ORDER_SHINGLES": 0}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(7)
+    rows = []
+    for p in range(3):
+        passage = [f"p{p}x{k}" for k in range(50)]
+        for k in range(60):
+            words = list(passage[: rng.randint(30, 50)])
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = f"r{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words + [f"q{p}x{k}x{j}" for j in range(rng.randint(0, 16))])))
+    rows += [(500, "a b"), (501, "a b c"), (502, "a b c d e"), (503, "a b c d e f"), (504, "b c d e f")]
+    rng.shuffle(rows)
+    assert kept(spark, rows) == brute(rows)

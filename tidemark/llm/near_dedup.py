@@ -4,7 +4,7 @@ Texts whose shingle sets have similarity 0.8 share one of their first fifth of s
 texts follow, so no pair is missed. Shingles seen often in some texts come last in the order, which keeps
 buckets small; the order never changes what is found. A bucket's members are first compared with one of
 them, and so are pairs that are likely for another reason; only members whose groups are still apart after that
-are compared with each other.
+are compared with each other, where many of them are, by a second common shingle and within bands of length.
 """
 
 from __future__ import annotations
@@ -27,8 +27,14 @@ SEED = 42
 ORDER_TEXTS, ORDER_SHINGLES = 16, 100_000
 #: Texts or pairs that a worker has in memory as arrays together.
 TOGETHER = 64
-#: Shingle sets that are broadcast, at most.
-BROADCAST_SETS = 2_000
+#: Shingles in the sets that are broadcast, at most (8 bytes each).
+BROADCAST_SHINGLES = 2_000_000
+#: Pairs that meet one copy of a set; a set of more pairs gets more copies.
+PAIRS_A_COPY = 1_000
+#: A bucket of more members is dealt again by a second shingle; one of more than BLOCK after that is split.
+MOST_IN_BUCKET, BLOCK = 256, 4_096
+#: Lengths of one band are within this factor. Alike sets are within 1.25 of each other, so in one band or in neighbours.
+BAND = 1.26
 
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
@@ -36,6 +42,7 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER))
+    pa.default_memory_pool().release_unused()
 
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -43,7 +50,7 @@ _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 def shingles(text: str, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; a text of fewer words is one shingle."""
-    words = np.fromiter(map(_hash, BYTE_WORD.findall(text.encode().translate(BYTE_LOWER))), np.uint64)
+    words = np.fromiter((_hash(m[0]) for m in BYTE_WORD.finditer(text.encode().translate(BYTE_LOWER))), np.uint64)
     size = min(size, len(words))
     if not size:
         return words
@@ -80,7 +87,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _prefixes(texts: DataFrame, print_of: Callable[[np.ndarray], int]) -> DataFrame:
-    """id, digest (of the text), s (of the set of shingles), n (their number), prefix, fp (print_of the set)."""
+    """id, digest (of the text), s (of the set of shingles), n (their number), prefix, fp (print_of the set).
+
+    prefix has one shingle more than a first common one needs: it holds a second common one of alike sets too.
+    """
     frequent, times = _frequent(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +104,7 @@ def _prefixes(texts: DataFrame, print_of: Callable[[np.ndarray], int]) -> DataFr
                     weight = np.where(frequent[at] == own, times[at], 0)
                 s.append(_hash(own.tobytes()))
                 n.append(len(own))
-                prefix.append(own[np.argsort(weight, kind="stable")[: len(own) // 5 + 1]])
+                prefix.append(own[np.argsort(weight, kind="stable")[: len(own) // 5 + 2]])
                 fp.append(print_of(own))
             longs = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (s, fp))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), next(longs), pa.array(n, pa.int64()), _lists(prefix), next(longs)], names=["id", "digest", "s", "n", "prefix", "fp"])
@@ -107,10 +117,17 @@ def _may_be_alike(n_a: str, left_a: str, n_b: str, left_b: str):
     return 9 * (1 + F.least(left_a, left_b)) >= 4 * (F.col(n_a) + F.col(n_b))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, broadcast: bool) -> DataFrame:
+    """rows, which have the sides of pairs, with the sets of one side; a set of many pairs is copied, and its pairs are dealt."""
+    own = sets.select(F.col("s").alias(side), F.col("set").alias(f"set_{side}"))
+    if broadcast:
+        return rows.join(F.broadcast(own), side)
     degree = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("degree"))
-    own = sets.withColumnsRenamed({"s": side, "set": f"set_{side}"}).join(degree, side)
-    return join_unique(pairs, own, [side], "degree", pairs.count(), "inner", BROADCAST_SETS).drop("degree")
+    hot = cut(degree.filter(F.col("degree") > PAIRS_A_COPY).withColumn("copies", F.ceil(F.col("degree") / PAIRS_A_COPY)))
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = join_unique(rows, hot, [side], "degree", pairs.count()).withColumn("copy", F.pmod(F.xxhash64("a", "b"), copies)).drop("degree", "copies")
+    copied = own.join(small(hot.drop("degree")), side, "left").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+    return dealt.join(copied, [side, "copy"]).drop("copy")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -127,10 +144,11 @@ def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t) for t in b.column(1).to_pylist()])], names=["s", "set"])
+            own = [shingles(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, own), pa.int64()), _lists(own)], names=["s", "size", "set"])
 
     behind = texts.join(small(asked), "digest").select("s", "text")
-    sets = cut(behind.mapInArrow(to_sets, "s long, set array<long>").dropDuplicates(["s"]))
+    sets = cut(behind.mapInArrow(to_sets, "s long, size long, set array<long>").dropDuplicates(["s"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
@@ -140,13 +158,49 @@ def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
                 keep.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b").select("a", "b", "set_a", "set_b")
+    broadcast = (sets.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_SHINGLES
+    one = _with_sets(pairs, pairs, sets, "a", broadcast)
+    both = _with_sets(one, pairs, sets, "b", broadcast).select("a", "b", "set_a", "set_b")
     return cut(both.mapInArrow(run, "a long, b long"))
 
 
+def _by_second(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows (h, s, n, left, label) of crowded buckets, dealt again: by each shingle of the prefix behind h, and by bands of length.
+
+    Alike sets have a second common shingle in their prefixes, behind the first. A row goes to its band and to
+    the one before, so that rows of neighbouring bands meet.
+    """
+    behind = F.slice("prefix", (F.col("n") - F.col("left") + 1).cast("int"), F.size("prefix"))
+    band = F.floor(F.log("n") / F.log(F.lit(BAND)))
+    dealt = rows.join(nodes.select("s", "prefix"), "s").withColumn("second", F.explode(behind)).withColumn("band", F.explode(F.array(band, band - 1)))
+    return dealt.select(F.xxhash64("h", "second", "band").alias("h"), "s", "n", "left", "label")
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (h, s, n, left, label) of buckets that hold several labels, written."""
+    several = rows.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
+    return cut(rows.join(several, "h", "left_semi"))
+
+
+def _crowded(rows: DataFrame, most: int) -> DataFrame:
+    return cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > most))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different labels, that may be alike; a large bucket's rows meet a block of it at a time."""
+    large = _crowded(rows, BLOCK).withColumn("blocks", F.ceil(F.col("members") / BLOCK))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = join_unique(rows, large, ["h"], "members", rows.count()).drop("members")
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("s"), blocks)).drop("blocks")
+    other = dealt.select("h", *(F.col(c).alias(f"{c}_b") for c in ("s", "n", "left", "label")), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    met = own.join(other, ["h", "block"]).filter("label < label_b").filter(_may_be_alike("n", "left", "n_b", "left_b"))
+    return met.select(F.least("s", "s_b").alias("a"), F.greatest("s", "s_b").alias("b")).distinct()
+
+
 def _labels(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
     """s, label: the groups of the sets by all alike pairs; sets that are like no other may have no row."""
-    placed = nodes.select("s", "n", F.posexplode("prefix").alias("at", "h"))
+    first = F.slice("prefix", F.lit(1), F.expr("int(n div 5 + 1)"))
+    placed = nodes.select("s", "n", F.posexplode(first).alias("at", "h"))
     rows = placed.select("h", "s", F.shiftleft("n", 32).bitwiseOR(F.col("n") - F.col("at") - 1).alias("sizes"))  # n and left in one long
     spark = nodes.sparkSession
     counts = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"))
@@ -166,13 +220,15 @@ def _labels(nodes: DataFrame, texts: DataFrame, likely: DataFrame) -> DataFrame:
         labels = done.keep(cut(connected(links).withColumnRenamed("node", "s")))
     known = cut(shared.drop("copies").join(small(labels), "s", "left").withColumn("label", F.coalesce("label", "s")))
     drop(spark, shared._written_at)
-    apart = known.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-    apart = cut(known.join(apart, "h", "left_semi"))
+    apart = _apart(known)
     drop(spark, known._written_at)
+    crowded = _crowded(apart, MOST_IN_BUCKET)
+    if not crowded.isEmpty():
+        crowded = small(crowded.select("h"))
+        finer = _apart(_by_second(apart.join(crowded, "h", "left_semi"), nodes))
+        apart = apart.join(crowded, "h", "left_anti").unionByName(finer)
     release(spark)
-    other = apart.select("h", *(F.col(c).alias(f"{c}_b") for c in ("s", "n", "left", "label")))
-    met = apart.join(other, "h").filter("label < label_b").filter(_may_be_alike("n", "left", "n_b", "left_b"))
-    more = met.select(F.least("s", "s_b").alias("a"), F.greatest("s", "s_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = _meeting(apart).join(tried, ["a", "b"], "left_anti")
     more = _verified(cut(more), nodes, texts)
     if more.isEmpty():
         return labels
