@@ -92,3 +92,19 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch, most, block):
     rows += [(500, "a b"), (501, "a b c"), (502, "a b c d e"), (503, "a b c d e f"), (504, "b c d e f")]
     rng.shuffle(rows)
     assert kept(spark, rows) == brute(rows)
+
+
+def test_small_batches_hold_for_what_runs_inside(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with near_dedup._small_batches(spark):
+        got = [r.n for r in spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long").collect()]
+    assert max(got) == near_dedup.TOGETHER
+    assert sum(got) == 1000
+    assert spark.conf.get(name) == before

@@ -10,12 +10,13 @@ are compared with each other, where many of them are, by a second common shingle
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BYTE_LOWER, BYTE_WORD, cut, drop, join_unique, release, scratch, small
@@ -39,6 +40,18 @@ BAND = 1.26
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside sends texts and sets to Python TOGETHER rows at a time: usual batches of long rows take many MB on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, TOGETHER)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield from (b.slice(i, TOGETHER) for i in range(0, b.num_rows, TOGETHER))
@@ -148,7 +161,8 @@ def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, own), pa.int64()), _lists(own)], names=["s", "size", "set"])
 
     behind = texts.join(small(asked), "digest").select("s", "text")
-    sets = cut(behind.mapInArrow(to_sets, "s long, size long, set array<long>").dropDuplicates(["s"]))
+    with _small_batches(pairs.sparkSession):
+        sets = cut(behind.mapInArrow(to_sets, "s long, size long, set array<long>").dropDuplicates(["s"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
@@ -161,7 +175,8 @@ def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
     broadcast = (sets.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_SHINGLES
     one = _with_sets(pairs, pairs, sets, "a", broadcast)
     both = _with_sets(one, pairs, sets, "b", broadcast).select("a", "b", "set_a", "set_b")
-    return cut(both.mapInArrow(run, "a long, b long"))
+    with _small_batches(pairs.sparkSession):
+        return cut(both.mapInArrow(run, "a long, b long"))
 
 
 def _by_second(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,7 +258,8 @@ def without_alike(docs: DataFrame, id_col: str, text_col: str, print_of: Callabl
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("digest"))
-    prints = cut(_prefixes(texts, print_of))
+    with _small_batches(docs.sparkSession):
+        prints = cut(_prefixes(texts, print_of))
     # only sets that several rows have are put together; all others stay where they are written
     sets = prints.filter("n > 0").select("s", "digest", "n", "prefix", "fp")
     twice = cut(sets.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("s"))
