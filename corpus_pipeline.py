@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, packing, secret_scan, simhash
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, drop, scratch
 
 #: SQL can't express the recurrent network, the fingerprints or the packing.
 ORACLE_SQL = None
@@ -53,9 +53,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage keeps is written once, and the next one reads it as often as it likes."""
+    """The last stage's rows. What a stage keeps is written once, and the next one reads it as often as it likes.
+
+    Once a stage's table is written, its interim tables and the table before it are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *before, (_, last) = STAGES
+    read = None
     for _, stage in before:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as done:
+            docs = done.keep(cut(stage(spark, docs, sf_dir)))
+        if read:
+            drop(spark, read)
+        read = docs._written_at
     return last(spark, docs, sf_dir)

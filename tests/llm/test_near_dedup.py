@@ -108,3 +108,23 @@ def test_small_batches_hold_for_what_runs_inside(spark):
     assert max(got) == near_dedup.TOGETHER
     assert sum(got) == 1000
     assert spark.conf.get(name) == before
+
+
+def test_verification_of_large_tables_moves_no_text(spark, monkeypatch):
+    """Part by part, without broadcasts: the same pairs, and what is shuffled is far below the texts."""
+    from pyspark.sql import functions as F
+
+    long_ = " ".join(f"w{i}" for i in range(4000))
+    rows = [(i, f"{'x' * 40_000} {i} {i * 7} and words of their own" if i % 10 else f"{long_} v{i}") for i in range(200)]
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("digest", F.xxhash64("text")).repartition(4)
+    kinds = {i: near_dedup._hash(near_dedup.shingles(t).tobytes()) for i, t in rows}
+    signed = {i: s - (1 << 64) if s >= 1 << 63 else s for i, s in kinds.items()}
+    nodes = texts.join(spark.createDataFrame(list(signed.items()), "id long, s long"), "id").select("s", "digest")
+    asked = [(signed[0], signed[10]), (signed[20], signed[30]), (signed[0], signed[1]), (signed[1], signed[2])]
+    pairs = spark.createDataFrame(asked, "a long, b long")
+    monkeypatch.setattr(near_dedup, "BROADCAST_SHINGLES", 0)
+    moved = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, cut=near_dedup.cut: moved.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    got = {tuple(r) for r in near_dedup._verified(pairs, nodes, texts).collect()}
+    assert got == set(asked[:2])
+    assert not any("Join" in p.split("MapInArrow", 1)[-1] for p in moved if "MapInArrow" in p and "text#" in p.split("MapInArrow", 1)[-1])

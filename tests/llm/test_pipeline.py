@@ -1,6 +1,7 @@
 """The pipeline's stages against what brute force keeps."""
 
 import hashlib
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -172,3 +173,17 @@ def test_each_stage_is_computed_once(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [("language_id", counted), *corpus_pipeline.STAGES[1:]])
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert seen.value == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_one_stage_table_is_left(spark, monkeypatch, tmp_path):
+    from tidemark.llm.common import cut
+
+    stage = lambda spark, docs, sf_dir: cut(cut(docs))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", stage), ("b", stage), ("c", lambda spark, docs, sf_dir: docs)])
+    left = corpus_pipeline.run(spark, SF)
+    (folder,) = {f.rsplit("/", 2)[0].removeprefix("file:") for f in left.inputFiles()}
+    mine = {f.rsplit("/", 2)[1] for f in left.inputFiles()}
+    assert left.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    begun = min(os.path.getmtime(f"{folder}/{m}") for m in mine)
+    others = [d for d in os.listdir(folder) if d.startswith("tidemark-") and d not in mine and os.path.getmtime(f"{folder}/{d}") > begun - 2]
+    assert len(mine) == 1 and not others

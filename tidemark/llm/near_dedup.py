@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import partial
+from functools import partial, reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ TOGETHER = 64
 BROADCAST_SHINGLES = 2_000_000
 #: Pairs that meet one copy of a set; a set of more pairs gets more copies.
 PAIRS_A_COPY = 1_000
+#: Sets that aren't broadcast are parted in so many; a part meets a part at a time, and its shuffle is given up after that.
+PARTS = 2
+#: Bits of a filter for one digest, and places that one sets.
+FILTER_BITS, FILTER_PLACES = 12, 4
 #: A bucket of more members is dealt again by a second shingle; one of more than BLOCK after that is split.
 MOST_IN_BUCKET, BLOCK = 256, 4_096
 #: Lengths of one band are within this factor. Alike sets are within 1.25 of each other, so in one band or in neighbours.
@@ -143,6 +148,29 @@ def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, br
     return dealt.join(copied, [side, "copy"]).drop("copy")
 
 
+def _places(digests: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of a filter that digests set."""
+    low, high = digests & np.uint64(0xFFFFFFFF), digests >> np.uint64(32)
+    return ((low + np.uint64(i) * high) * _STEP % np.uint64(bits) for i in range(FILTER_PLACES))
+
+
+def _digest_filter(digests: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of a column of digests: some bits for each at the driver, whatever the texts are."""
+    held = np.zeros(max(1, n * FILTER_BITS // 8), np.uint8)
+    bits = 8 * len(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(len(held), np.uint8)
+        for b in batches:
+            for at in _places(b.column(0).to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(own, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["held"])
+
+    for row in digests.repartition(4).mapInArrow(run, "held binary").toLocalIterator():
+        held |= np.frombuffer(row.held, np.uint8)
+    return held
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are alike."""
     if pairs.isEmpty():
@@ -152,17 +180,39 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
 
 def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    spark = pairs.sparkSession
     asked = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct()
-    asked = cut(nodes.select("s", "digest").join(asked, "s"))
+    asked = cut(nodes.select("s", "digest").join(asked, "s").select("digest"))
+    held = _digest_filter(asked, asked.count())
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
-            own = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, own), pa.int64()), _lists(own)], names=["s", "size", "set"])
-
-    behind = texts.join(small(asked), "digest").select("s", "text")
-    with _small_batches(pairs.sparkSession):
-        sets = cut(behind.mapInArrow(to_sets, "s long, size long, set array<long>").dropDuplicates(["s"]))
+            wanted = np.ones(b.num_rows, bool)
+            for at in _places(b.column(0).to_numpy().view(np.uint64), 8 * len(held)):
+                wanted &= held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            own = [shingles(t) for t in b.column(1).filter(pa.array(wanted)).to_pylist()]
+            s = np.array([_hash(x.tobytes()) for x in own], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(map(len, own), pa.int64()), _lists(own)], names=["s", "size", "set"])
+
+    # no text is shuffled: a filter chooses them where they are read, and the few that it lets in beside are in no pair
+    with _small_batches(spark):
+        sets = cut(texts.select("digest", "text").mapInArrow(to_sets, "s long, size long, set array<long>"))
+    twice = cut(sets.groupBy("s").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("s"))
+    if not twice.isEmpty():
+        once = cut(sets.join(small(twice), "s", "left_semi").dropDuplicates(["s"]))
+        sets = sets.join(small(twice), "s", "left_anti").unionByName(once)
+    if (sets.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_SHINGLES:
+        return _compared(pairs, sets, sets, True)
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(PARTS))
+    found = []
+    for i, j in product(range(PARTS), repeat=2):
+        found.append(_compared(cut(pairs.filter((part("a") == i) & (part("b") == j))), sets.filter(part("s") == i), sets.filter(part("s") == j), False))
+        release(spark)
+    return cut(reduce(DataFrame.unionByName, found))
+
+
+def _compared(pairs: DataFrame, sets_a: DataFrame, sets_b: DataFrame, broadcast: bool) -> DataFrame:
+    """The pairs (a, b) whose sets are alike, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _few(batches):
@@ -172,9 +222,8 @@ def _alike_pairs(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
                 keep.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    broadcast = (sets.agg(F.sum("size")).first()[0] or 0) <= BROADCAST_SHINGLES
-    one = _with_sets(pairs, pairs, sets, "a", broadcast)
-    both = _with_sets(one, pairs, sets, "b", broadcast).select("a", "b", "set_a", "set_b")
+    one = _with_sets(pairs, pairs, sets_a, "a", broadcast)
+    both = _with_sets(one, pairs, sets_b, "b", broadcast).select("a", "b", "set_a", "set_b")
     with _small_batches(pairs.sparkSession):
         return cut(both.mapInArrow(run, "a long, b long"))
 
