@@ -20,10 +20,12 @@ BLOCKS = 16
 def rank_ic(df: DataFrame, group: Sequence[str], forecast: str, outcome: str, tie: str) -> DataFrame:
     """group, n, ic: Spearman's correlation with average ranks over the rows that have both; null where one is constant.
 
-    Ranks come from range partitions, so that a cross-section of any size is ranked by all tasks.
+    Ranks come from range partitions, so that a cross-section of any size is ranked by all tasks. Each ranking reads
+    its rows several times, so they are written before it.
     """
-    both = df.filter(F.col(forecast).isNotNull() & F.col(outcome).isNotNull()).select(*group, forecast, outcome, tie)
-    ranked = with_average_rank(with_average_rank(both, group, forecast, tie, "_x"), group, outcome, tie, "_y")
+    both = written(df.filter(F.col(forecast).isNotNull() & F.col(outcome).isNotNull()).select(*group, forecast, outcome, tie))
+    once = written(with_average_rank(both, group, forecast, tie, "_x"))
+    ranked = with_average_rank(once, group, outcome, tie, "_y")
     return ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("ic"))
 
 
