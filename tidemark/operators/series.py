@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -39,6 +40,45 @@ def sma_distance(n: int, w: WindowSpec | None = None) -> Column:
     return F.when((F.col("close") != 0) & (mean != 0), (F.col("close") - mean) / mean)
 
 
+def with_full_means(bars: DataFrame, column: str, names: Mapping[int, str], w: WindowSpec | None = None) -> DataFrame:
+    """bars with the mean of the last n rows for each n of names, null with fewer rows: full_mean for long windows.
+
+    Sums and counts are put together from stretches of doubling length, each an earlier row's, so that a row costs a few
+    lags and not n additions.
+    """
+    w = w or over()
+    known = F.col(column).isNotNull()
+    out = bars.withColumns({"_s0": F.coalesce(F.col(column).cast("double"), F.lit(0.0)), "_n0": F.when(known, 1).otherwise(0)})
+    levels = max(names).bit_length() - 1
+    back = lambda c, rows: F.coalesce(F.lag(c, rows).over(w), F.lit(0)) if rows else F.col(c)
+    for k in range(levels):
+        out = out.withColumns({f"{c}{k + 1}": F.col(f"{c}{k}") + back(f"{c}{k}", 1 << k) for c in ("_s", "_n")})
+
+    def total(c: str, n: int) -> Column:
+        bits = [k for k in reversed(range(levels + 1)) if n >> k & 1]
+        return reduce(lambda a, b: a + b, (back(f"{c}{k}", sum(1 << j for j in bits if j > k)) for k in bits))
+
+    whole = lambda n: F.lit(True) if n == 1 else F.lag(F.lit(True), n - 1).over(w).isNotNull()
+    out = out.withColumns({name: F.when(whole(n), F.try_divide(total("_s", n), total("_n", n))) for n, name in names.items()})
+    return out.drop(*(f"{c}{k}" for c in ("_s", "_n") for k in range(levels + 1)))
+
+
+def with_trailing_max(bars: DataFrame, column: str, n: int, name: str, w: WindowSpec | None = None) -> DataFrame:
+    """bars with the largest of up to n last values, from stretches of doubling length that overlap."""
+    w = w or over()
+    out, levels = bars.withColumn("_m0", F.col(column)), n.bit_length() - 1
+    for k in range(levels):
+        out = out.withColumn(f"_m{k + 1}", F.greatest(f"_m{k}", F.lag(f"_m{k}", 1 << k).over(w)))
+    rest = n - (1 << levels)
+    top = F.greatest(f"_m{levels}", F.lag(f"_m{levels}", rest).over(w)) if rest else F.col(f"_m{levels}")
+    return out.withColumn(name, top).drop(*(f"_m{k}" for k in range(levels + 1)))
+
+
+def distance_from(level: Column) -> Column:
+    """Of close from a level, in shares of it; null where either is zero."""
+    return F.when((F.col("close") != 0) & (level != 0), (F.col("close") - level) / level)
+
+
 def realized_vol(returns: str = "ret_1d", n: int = 20, w: WindowSpec | None = None) -> Column:
     """Annualised sample deviation of up to n simple returns."""
     return F.stddev_samp(returns).over(trailing(n, w)) * F.sqrt(F.lit(252.0))

@@ -44,7 +44,8 @@ def momentum_skip(spark, sf_dir):
 
 @query("sma_distance", f"WITH {BARS} SELECT security_id, {DAY}, " + ", ".join(f"CASE WHEN count(*) OVER {trail(n)} = {n} THEN round((close - avg(close) OVER {trail(n)}) / avg(close) OVER {trail(n)}, 6) END AS d{n}" for n in (20, 50, 200)) + " FROM bars")
 def sma_distance(spark, sf_dir):
-    return bars(spark, sf_dir).select("security_id", _day(), *(r6(series.sma_distance(n)).alias(f"d{n}") for n in (20, 50, 200)))
+    rows = series.with_full_means(bars(spark, sf_dir), "close", {n: f"mean{n}" for n in (20, 50, 200)})
+    return rows.select("security_id", _day(), *(r6(series.distance_from(F.col(f"mean{n}"))).alias(f"d{n}") for n in (20, 50, 200)))
 
 
 @query("realized_vol", f"WITH {BARS}, r AS (SELECT *, close / nullif(lag(close) OVER {W}, 0) - 1 AS ret FROM bars) SELECT security_id, {DAY}, round(stddev_samp(ret) OVER {trail(20)} * sqrt(252), 5) AS vol FROM r")
@@ -91,7 +92,8 @@ def volume_z(spark, sf_dir):
 
 @query("dist_52w_high", f"WITH {BARS} SELECT security_id, {DAY}, round((close - max(close) OVER {trail(252)}) / max(close) OVER {trail(252)}, 6) AS distance FROM bars")
 def dist_52w_high(spark, sf_dir):
-    return bars(spark, sf_dir).select("security_id", _day(), r6(series.high_distance()).alias("distance"))
+    rows = series.with_trailing_max(bars(spark, sf_dir), "close", 252, "high252")
+    return rows.select("security_id", _day(), r6(series.distance_from(F.col("high252"))).alias("distance"))
 
 
 @query("adv_windows", f"WITH {BARS}, v AS (SELECT security_id, event_time, floor(close * volume) AS d FROM bars) SELECT security_id, {DAY}, round(avg(d) OVER {trail(20)}, 4) AS adv20, CASE WHEN count(*) OVER {trail(30)} >= 30 THEN round(avg(d) OVER {trail(30)}, 4) END AS adv30 FROM v")
