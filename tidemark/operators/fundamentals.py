@@ -131,10 +131,22 @@ def trade_tags(txns: DataFrame, years: int = 3) -> DataFrame:
 
 
 def buyer_clusters(txns: DataFrame, days: int = 14) -> DataFrame:
-    """txns with cluster: distinct buyers within days of the trade, either way; a range frame, not a self join."""
-    buyer = F.when((F.col("code") == "P") & F.col("acquired"), F.col("filer"))
-    w = Window.partitionBy("security_id").orderBy(F.unix_date("txn_date")).rangeBetween(-days, days)
-    return txns.withColumn("cluster", F.size(F.collect_set(buyer).over(w)))
+    """txns with cluster: distinct buyers within days of the trade, either way; 0 where its day or security is null.
+
+    A buyer comes in days before a purchase and goes out days after it, or where the next one comes in; a running sum
+    over a security's days counts who is in. No trade meets a buyer, and no set of buyers is made.
+    """
+    bought = txns.filter((F.col("code") == "P") & F.col("acquired")).filter("filer is not null")
+    bought = bought.select("security_id", "filer", F.unix_date("txn_date").alias("_day")).filter("_day is not null").distinct()
+    bought = bought.withColumn("_next", F.lead("_day").over(Window.partitionBy("security_id", "filer").orderBy("_day")))
+    moves = F.array(F.struct((F.col("_day") - days).alias("_day"), F.lit(1).alias("_n")), F.struct(F.least(F.col("_day") + days + 1, F.col("_next") - days).alias("_day"), F.lit(-1).alias("_n")))
+    steps = bought.select("security_id", F.inline(moves)).unionByName(txns.select("security_id", F.unix_date("txn_date").alias("_day"), F.lit(0).alias("_n")))
+    # a row for each security and day
+    daily = steps.groupBy("security_id", "_day").agg(F.sum("_n").alias("_n"))
+    running = F.sum("_n").over(Window.partitionBy("security_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    counted = daily.select("security_id", F.date_from_unix_date("_day").alias("txn_date"), running.cast("int").alias("cluster"))
+    out = txns.join(counted, ["security_id", "txn_date"], "left")
+    return out.select(*txns.columns, F.coalesce("cluster", F.lit(0)).alias("cluster"))
 
 
 def position_change(shares: Column, acquired: Column, held_after: Column) -> Column:
