@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from tidemark.functions import text
-from tidemark.operators import fundamentals, metrics, series
+from tidemark.operators import asof, fundamentals, metrics, series
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,3 +71,21 @@ def test_clusters_are_counted_without_sets(spark):
         assert len(got) == len(rows) and got[400] == got[401] == 0
         for i, s, _, d, _, _ in rows[:400]:
             assert got[i] == len({f for _, s2, f, d2, c, a in rows[:400] if s2 == s and c == "P" and a and f and abs((d2 - d).days) <= days})
+
+
+def test_nearest_meets_no_pairs(spark):
+    rng = random.Random(6)
+    day = lambda k: None if k is None else dt.date(1999, 12, 1) + dt.timedelta(days=k)
+    some = lambda hi: None if rng.random() < 0.05 else rng.randint(0, hi)
+    lefts = [(i, some(2), some(3000)) for i in range(500)]
+    rights = [(k, d, None if rng.random() < 0.1 else float(d)) for k in (None, 0, 1) for d in sorted(rng.sample(range(3000), 200))]
+    left = spark.createDataFrame([(i, k, day(d)) for i, k, d in lefts], "id int, k int, asked date")
+    right = spark.createDataFrame([(k, day(d), v) for k, d, v in [*rights, (0, None, 1.0)]], "k int, at date, v double")
+    for days in (0, 3, 40):
+        out = asof.nearest_within(left, right, ["k"], F.col("asked"), "at", days, "v", "found")
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.id: r.found for r in out.collect()}
+        assert len(got) == len(lefts)
+        for i, k, d in lefts:
+            near = [] if None in (k, d) else sorted((abs(e - d), e, v) for k2, e, v in rights if k2 == k and abs(e - d) <= days)[:1]
+            assert got[i] == (near[0][2] if near else None), (i, k, d)

@@ -141,21 +141,30 @@ def _type(df: DataFrame, column: Column):
     return df.select(column.alias("x")).schema["x"].dataType
 
 
+#: A slice of a key's dates is so many times as long as what a tolerance reaches over.
+SLICE = 32
+
+
 def nearest_within(left: DataFrame, right: DataFrame, on: Sequence[str], left_date: Column, right_date: str, days: int, value: str, name: str) -> DataFrame:
     """left with right's value at the date nearest to left_date, at most days away; of two the earlier.
 
-    The tolerance makes the join an equi join on a bucket of dates, and not a range join: a right row is in
-    its bucket and both neighbours.
+    Both sides are united and sorted within slices of a key's dates, once forwards and once backwards, and the last
+    right row on either way is a candidate; no pair of rows is ever formed. A right row near the edge of a slice is in both.
     """
-    width = 2 * days + 1
+    width = SLICE * (2 * days + 1)
     number = lambda c: F.floor(F.unix_date(c) / width)
-    keyed = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_wanted", F.to_date(left_date)).withColumn("_bucket", number(F.col("_wanted")))
-    other = right.select(*on, F.to_date(right_date).alias("_date"), F.col(value).alias("_value"))
-    other = other.withColumn("_bucket", F.explode(F.array(*(number(F.col("_date")) + k for k in (-1, 0, 1)))))
-    near = keyed.join(other, [*on, "_bucket"], "left").withColumn("_far", F.abs(F.datediff("_date", "_wanted")))
-    near = near.withColumn("_value", F.when(F.col("_far") <= days, F.col("_value"))).withColumn("_far", F.when(F.col("_far") <= days, F.col("_far")))
-    best = first_by(near, ["_row"], [F.asc_nulls_last("_far"), F.asc("_date")])
-    return best.select(*left.columns, F.col("_value").alias(name))
+    wanted = F.to_date(left_date)
+    asked = left.withColumns({"_row": F.lit(True), "_date": wanted, "_slice": number(wanted), "_side": F.lit(1)})
+    date = F.to_date(right_date)
+    known = right.select(*on, date.alias("_date"), F.struct(date.alias("date"), F.col(value).alias("value")).alias("_right"), F.lit(0).alias("_side"))
+    known = known.dropna(subset=[*on, "_date"]).withColumn("_slice", F.explode(F.array_distinct(F.array(number(F.date_sub("_date", days)), number(F.date_add("_date", days))))))
+    rows = asked.unionByName(known, allowMissingColumns=True)
+    own = Window.partitionBy(*on, "_slice")
+    upto = lambda *order: F.last("_right", ignorenulls=True).over(own.orderBy(*order, "_side").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_before", upto(F.asc("_date"))).withColumn("_after", upto(F.desc("_date"))).filter("_row")
+    before, after = F.datediff("_date", "_before.date"), F.datediff("_after.date", "_date")
+    best = F.when((before <= days) & ((after >= before) | after.isNull()), F.col("_before.value")).when(after <= days, F.col("_after.value"))
+    return rows.select(*left.columns, best.alias(name))
 
 
 def first_range(value: Column, ranges: Sequence[tuple]) -> Column:
