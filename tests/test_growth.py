@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from tidemark.functions import text
-from tidemark.operators import asof, fundamentals, metrics, series
+from tidemark.operators import asof, fundamentals, metrics, outcomes, series
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +89,27 @@ def test_nearest_meets_no_pairs(spark):
         for i, k, d in lefts:
             near = [] if None in (k, d) else sorted((abs(e - d), e, v) for k2, e, v in rights if k2 == k and abs(e - d) <= days)[:1]
             assert got[i] == (near[0][2] if near else None), (i, k, d)
+
+
+def test_outcomes_read_pairs_and_stored_once(spark):
+    read = {"pairs": spark.sparkContext.accumulator(0), "stored": spark.sparkContext.accumulator(0)}
+
+    def counted(df, what):
+        def run(batches, seen=read[what]):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    t = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    at = lambda k: F.to_timestamp_ntz(F.lit(str(t(k))))
+    pairs = spark.createDataFrame([("r", s, 5, t(0).date(), t(5).date()) for s in range(40)], "run_id string, security_id long, horizon int, entry_day date, end_day date")
+    # odd securities' ends are revised on day 9, every third to the same price
+    rows = [(s, t(d).date(), 10.0 + d, t(d), "a") for s in range(40) for d in (0, 5)] + [(s, t(5).date(), 15.0 if s % 3 == 0 else 20.0, t(9), "b") for s in range(1, 40, 2)]
+    prices = spark.createDataFrame(rows, "security_id long, day date, close double, available_at timestamp_ntz, source_version string")
+    stored = outcomes.newly_resolved(spark.createDataFrame([], outcomes.OUTCOME), pairs.filter("security_id < 30"), prices, None, at(6)).localCheckpoint()
+    got = outcomes.newly_resolved(counted(stored, "stored"), counted(pairs, "pairs"), prices, at(6), at(10)).collect()
+    assert sorted(r.security_id for r in got) == [s for s in range(40) if s >= 30 or (s % 2 and s % 3)]
+    assert read["pairs"].value == 40 and read["stored"].value == 30
+    assert not [r for r in outcomes.newly_resolved(stored, pairs.filter("security_id < 30"), prices, None, at(10)).collect()]

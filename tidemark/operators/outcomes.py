@@ -34,17 +34,16 @@ def newly_resolved(stored: DataFrame, pairs: DataFrame, prices: DataFrame, since
     close, available_at, source_version) are versions. A pair is looked at only if it has no outcome, or if a version of one of
     its prices became visible in (since, as_of]; a revision that changes nothing adds no row.
     """
-    known = stored.select(*KEY).distinct()
-    fresh = pairs.join(known, list(KEY), "left_anti")
-    if since is not None:
-        changed = prices.filter((F.col("available_at") > since) & (F.col("available_at") <= as_of)).select("security_id", "day").distinct()
-        touched = [pairs.join(known, list(KEY), "left_semi").join(changed.withColumnRenamed("day", d), ["security_id", d], "left_semi") for d in ("entry_day", "end_day")]
-        fresh = fresh.unionByName(touched[0].unionByName(touched[1]).dropDuplicates(list(KEY)))
     seen = latest_version(prices, ["security_id", "day"], as_of).filter(F.col("close") > 0)
     price = lambda d, name: seen.select("security_id", F.col("day").alias(d), F.col("close").alias(name), F.col("available_at").alias(f"{name}_at"))
-    joined = fresh.join(price("entry_day", "_p0"), ["security_id", "entry_day"]).join(price("end_day", "_p1"), ["security_id", "end_day"])
+    joined = pairs.join(price("entry_day", "_p0"), ["security_id", "entry_day"]).join(price("end_day", "_p1"), ["security_id", "end_day"])
     made = joined.select(*KEY, "entry_day", "end_day", (F.col("_p1") / F.col("_p0") - 1).alias("ret"), F.greatest("_p0_at", "_p1_at").alias("resolved_at"), F.sha2(F.concat_ws("|", "run_id", F.col("security_id").cast("string"), F.col("horizon").cast("string"), F.col("_p0").cast("string"), F.col("_p1").cast("string")), 256).alias("revision_id"))
-    return made.join(stored.select(*KEY, "revision_id").distinct(), [*KEY, "revision_id"], "left_anti")
+    # a pair's revisions are few; of a day's visible versions the newest tells whether one came after since, so resolved_at does for both days
+    known = stored.groupBy(*KEY).agg(F.collect_set("revision_id").alias("_known"))
+    fresh = F.col("_known").isNull()
+    if since is not None:
+        fresh = fresh | ((F.col("resolved_at") > since) & ~F.array_contains("_known", F.col("revision_id")))
+    return made.join(known, list(KEY), "left").filter(fresh).drop("_known")
 
 
 def append_resolved(store, pairs: DataFrame, prices: DataFrame, since: Column | None, as_of: Column, name: str = "outcomes") -> int:
