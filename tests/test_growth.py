@@ -113,3 +113,9 @@ def test_outcomes_read_pairs_and_stored_once(spark):
     assert sorted(r.security_id for r in got) == [s for s in range(40) if s >= 30 or (s % 2 and s % 3)]
     assert read["pairs"].value == 40 and read["stored"].value == 30
     assert not [r for r in outcomes.newly_resolved(stored, pairs.filter("security_id < 30"), prices, None, at(10)).collect()]
+
+
+def test_adjusted_prices_are_sorted_once(spark):
+    plan = registry.queries()["adjusted_prices"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "_split" in line]
+    assert windows and not any("DESC" in line for line in windows)

@@ -66,11 +66,10 @@ def adjusted_prices(bars: DataFrame, actions: DataFrame, dates: Sequence[Column]
     left = F.when(F.col("_before").isNull(), 1.0).otherwise(left)  # nothing before it to adjust
     line = line.withColumn("_split", -F.log("_shares")).withColumn("_left", left).withColumn("_lost", (F.col("_left") <= 0).cast("int"))
     line = line.withColumn("_total", F.col("_split") + F.when(F.col("_left") > 0, F.log("_left")).otherwise(0.0))
-    # backward: what comes after a bar is what precedes it with time turned round
-    after = Window.partitionBy(*keys).orderBy(F.desc("day"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, -1)
-    factor = lambda c: F.exp(F.coalesce(F.sum(c).over(after), F.lit(0.0)))
-    sound = F.coalesce(F.sum("_lost").over(after), F.lit(0)) == 0
-    placed = line.withColumns({"split_close": F.col("close") * factor("_split"), "total_close": F.when(sound, F.col("close") * factor("_total"))})
+    # what comes after a bar is the whole less what comes up to it, so that one order, and one sort, serves both ways
+    upto, whole = (forward.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+    after = lambda c: F.coalesce(F.sum(c).over(whole), F.lit(0)) - F.coalesce(F.sum(c).over(upto), F.lit(0))
+    placed = line.withColumns({"split_close": F.col("close") * F.exp(after("_split")), "total_close": F.when(after("_lost") == 0, F.col("close") * F.exp(after("_total")))})
     return placed.filter("_side = 1").select(*keys, "day", "close", "split_close", "total_close")
 
 
