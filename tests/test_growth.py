@@ -119,3 +119,25 @@ def test_adjusted_prices_are_sorted_once(spark):
     plan = registry.queries()["adjusted_prices"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line and "_split" in line]
     assert windows and not any("DESC" in line for line in windows)
+
+
+def test_walk_forward_computes_features_once(spark):
+    from tidemark.plans.features import walk_forward
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    t = lambda k: dt.datetime(2024, 1, 1) + dt.timedelta(days=k)
+    rows = [(s, t(k), {"a": float((s * 7 + k) % 5)}) for s in range(6) for k in (0, 10)]
+    features = spark.createDataFrame(rows, "security_id long, event_time timestamp_ntz, values map<string,double>")
+    # labels end after the date, so that there is nothing to fit
+    labels = spark.createDataFrame([(s, t(0), t(40), s > 2) for s in range(6)], "security_id long, feature_time timestamp_ntz, label_end timestamp_ntz, is_top_tercile boolean")
+    sectors = spark.createDataFrame([(s, "x") for s in range(6)], "security_id long, sector string")
+    vols = spark.createDataFrame([(str(t(10)), s, 0.2) for s in range(6)], "as_of string, security_id long, sigma double")
+    counted = features.mapInArrow(run, features.schema)
+    assert walk_forward(counted, labels, [F.to_timestamp_ntz(F.lit(str(t(10))))], sectors, vols, 2).count() == 6
+    assert seen.value == 12

@@ -101,13 +101,15 @@ _WALK = ("1997-01-31", "1998-01-30", "1999-01-29", "2000-01-31")
 def walk_forward_dates(spark, sf_dir):
     """Four yearly dates: features of the newest bar by each, trained on the terciles of earlier ones. Tested by brute force."""
     from tidemark.operators.asof import asof_join
+    from tidemark.sources.interim import written
 
     times = [F.to_timestamp_ntz(F.lit(d)) for d in _WALK]
     s = sectors(spark, sf_dir)
     names = ("return_1m", "realized_vol_20d", "sma_20d_distance", "distance_52w_high")
     asked = s.select("security_id").withColumn("event_time", F.explode(F.array(*times)))
     at = price_features(bars(spark, sf_dir)).withColumnRenamed("event_time", "bar_time")
-    found = asof_join(asked, at, ["security_id"], "event_time", "bar_time", list(names))
+    # a row for each security and date, for features and volatilities
+    found = written(asof_join(asked, at, ["security_id"], "event_time", "bar_time", list(names)))
     values = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.col, names)))
     features = found.select("security_id", "event_time", values.alias("values"))
     labelled = gate.labels(asked.select(F.col("event_time").alias("feature_time")).distinct(), bars(spark, sf_dir), s)

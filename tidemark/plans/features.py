@@ -13,6 +13,7 @@ from tidemark.operators.gate import decide, feature_names, fit_logistic_dates
 from tidemark.operators.series import newest_features, over, trailing
 from tidemark.operators.sizing import Limits, size_book
 from tidemark.operators.xsection import position_percentile, universe_rules
+from tidemark.sources.interim import written
 
 PRICE = (
     "return_1m", "return_3m", "return_6m", "momentum_12_1", "sma_20d_distance", "sma_50d_distance", "sma_200d_distance", "realized_vol_20d", "atr_20d_pct",
@@ -73,7 +74,8 @@ def universe_snapshots(snapshot_times: Sequence[tuple[Column, Column]], bars: Da
 def walk_forward(features: DataFrame, labelled: DataFrame, dates: Sequence[Column], sectors: DataFrame, volatilities: DataFrame, top_k: int, limits: Limits = Limits()) -> DataFrame:
     """as_of, security_id, score, passed, weight over the dates: at each the gate is fitted on labels that ended
     before it, scores that date's rows, and the passing names are sized. All dates are fitted together. The dates
-    are in order of time."""
+    are in order of time. Features are written once, as they are named, fitted and scored."""
+    features = written(features)
     names = feature_names(features)
     models = fit_logistic_dates(features, labelled, dates, names)
     # a model for each of the dates given, which are a list on the driver
