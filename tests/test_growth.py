@@ -141,3 +141,87 @@ def test_walk_forward_computes_features_once(spark):
     counted = features.mapInArrow(run, features.schema)
     assert walk_forward(counted, labels, [F.to_timestamp_ntz(F.lit(str(t(10))))], sectors, vols, 2).count() == 6
     assert seen.value == 12
+
+
+WORDS = (
+    "Acme", "robotics", "acme robotics", "cik", "CIK", "no", "nono", "ciknono", "0000320193", "320193", "$brk-b", "BRK.B", "brk", "5", "5,000", "2024", "2024-02-01", "12", "3.14159", "$", "usd", "million", "Million",
+    "shares", "sharesmay", "dollars", "dollarsmay", "usdmay", "euros", "may", "sept.", "March", "Q1", "FY", "fiscal", "year", "k", "mm", "bn", "t", "café", "café", "́", " ", " ", "ﬁne", "٥", "K",
+    "plain", "words", "Here", "is", "prose", ",", ".", ":", ";", "-", "/", "(", "\U0001f600",
+)
+
+
+def test_an_opening_is_shown_as_the_whole_text_is(spark):
+    rng = random.Random(7)
+    m = text.Masker([("TICKER_000123", "name", "Acme Robotics"), ("5 million", "name", "is prose"), ("T2", "ticker", "BRK.B"), ("T3", "cik", "320193")])
+    odd = lambda: "".join(rng.choice((*WORDS, *("goes", "with", "them", "along") * 6)) + rng.choice((" ", " ", " ", " ", "  ", "\n", "\t", "\r\n", "", " ")) for _ in range(rng.randint(0, 60)))
+    plain = "some plain text of it 5 million dollarsmay 7 2024 here "
+    texts = [odd() for _ in range(1500)] + [plain * 100, "x" * 5000, "9" * 300 + " end of it" * 400, "", None]
+    shown = lambda c, n: text.clean(text.scrub(m.column(F.coalesce(c, F.lit("")))), n)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for n in (1, 12, 400):
+        got = df.select("i", "t", m.opening(F.col("t"), n).alias("o")).select("i", "t", "o", shown(F.col("t"), n).alias("whole"), shown(F.col("o"), n).alias("own")).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert r.own == r.whole and ((r.o is None and r.t is None) or r.t.startswith(r.o)), (n, r.t, r.o)
+        by = {r.i: r.o for r in got}
+        assert by[1501] == "x" * 5000
+        assert n == 1 or len(by[1500]) < 2 * n + 60
+        assert n != 12 or sum(by[i] != texts[i] for i in range(1500)) > 100
+
+
+def test_every_word_of_a_pattern_is_known_to_scrub():
+    patterns = (text.AMOUNT, text.MAGNITUDE, text.SHARES, *text.DATES, text.LONG_NUMBER)
+    assert all(r"\d" in p or "[0-9]" in p or "19|20" in p or "[1-4]" in p for p in patterns)
+    for word in "USD EUR GBP thousand trillion bn mm shares dollars euros usd January jun june July sept Dec Q FY fiscal year".split():
+        assert word.lower() in text.SCRUBBED
+    assert all(w in text.SCRUBBED for w in text.SCRUBBED_FRONTS)
+
+
+def test_summaries_are_masked_as_far_as_they_are_shown(spark):
+    from tidemark.operators import partitions
+
+    seen, m, now = spark.sparkContext.accumulator(0), text.Masker([("T1", "name", "Acme")]), dt.datetime(2024, 3, 1)
+
+    def mask(c):
+        @F.pandas_udf("string")
+        def counted(values):
+            seen.add(int(values.str.len().sum()))
+            return values.map(m.mask)
+
+        return counted(c)
+
+    rows = [(1, f"i{k}", "Acme", "Acme makes plain things and 5 million words of it. " * 200, now - dt.timedelta(hours=k)) for k in range(5)]
+    news = spark.createDataFrame(rows, "security_id int, item_id string, headline string, summary string, event_time timestamp").withColumn("available_at", F.col("event_time"))
+    tables = [partitions.news_table(news, F.lit(now), mask, *more).collect() for more in ((m.opening,), ())]
+    assert tables[0] == tables[1] and len(tables[0]) == 1
+    assert seen.value < 5 * (10_200 + 4) + 5 * (1_000 + 4)
+
+
+def test_insider_trades_are_chosen_before_they_are_judged(spark):
+    from tidemark.operators import partitions
+
+    rng = random.Random(8)
+    now = dt.datetime(2024, 3, 1, 12)
+    date = lambda k: None if k is None else now.date() - dt.timedelta(days=k)
+    rows = []
+    for k in range(6000):
+        d = rng.choice([None, *range(-3, 260)] if rng.random() < 0.4 else range(1500))
+        rows.append((rng.choice((None, 1, 2, 3)) if k % 50 == 0 else rng.randint(1, 3), rng.choice(("a", "b", "c", "d", None)), date(d), rng.choice("PPSM"), rng.random() < 0.8, now - dt.timedelta(days=(d or 0) - rng.choice((0, 1, 40))), f"{k:05}", 0))
+    txns = spark.createDataFrame(rows, "security_id int, filer string, txn_date date, code string, acquired boolean, available_at timestamp, accession string, seq int")
+    visible = txns.filter(F.col("available_at") <= F.lit(now))
+    today = F.to_date(F.lit(now))
+    chosen = visible.filter(F.datediff(today, "txn_date").between(0, 180)).filter("accession % 3 = 0")
+    span = (F.date_sub(today, 180), today)
+    keys = ["accession", "tag", "cluster"]
+    want = fundamentals.buyer_clusters(fundamentals.trade_tags(visible, 3)).join(chosen.filter("security_id is not null").select("accession"), "accession").select(keys)
+    got = fundamentals.trade_tags(fundamentals.buyer_clusters(chosen, 14, visible, span), 3, visible, span).select(keys)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    tags = {r.tag for r in got.collect()}
+    assert tags >= {"ROUTINE", "OPPORTUNISTIC"}
+
+    entities = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)], "security_id int, cik int, adv30_usd double")
+    full = txns.withColumns({"role": F.lit("officer"), "officer_title": F.lit("CEO"), "shares": F.lit(1.0), "price": F.lit(1.0), "post_holdings": F.lit(1.0), "is_10b5_1": F.lit(False)})
+    plan = partitions.insider_table(entities, full, F.lit(now))._jdf.queryExecution().optimizedPlan().toString()
+    # months are collected of some trades only, and no window orders more than the newest trades or buyers near them
+    months = plan[plan.index("collect_set"):].splitlines()
+    assert any("pmod" in line for line in months[:4])

@@ -116,27 +116,39 @@ def news_features(items: DataFrame, as_of: Column) -> DataFrame:
     return z.join(width, "security_id", "left").select("security_id", "news_count_zscore_7d", F.coalesce("d", F.lit(0)).alias("news_source_diversity_7d"))
 
 
-def trade_tags(txns: DataFrame, years: int = 3) -> DataFrame:
+def trade_tags(txns: DataFrame, years: int = 3, history: DataFrame | None = None, span: tuple[Column, Column] | None = None) -> DataFrame:
     """txns with tag: ROUTINE if the filer traded in that month of each of the prior years, UNKNOWN if the
-    security's history is too short to tell, else OPPORTUNISTIC."""
+    security's history is too short to tell, else OPPORTUNISTIC.
+
+    history has all trades by which txns are judged, txns themselves by default. Of it only the months that lie years before
+    those of span are looked at, if all of txns have their day in span.
+    """
+    history = txns if history is None else history
     month = lambda d: F.year(d) * 12 + F.month(d)
-    traded = txns.filter(F.col("code").isin("P", "S")).groupBy("security_id", "filer").agg(F.collect_set(month(F.col("txn_date"))).alias("_months"))
-    first = txns.groupBy("security_id").agg(F.min("txn_date").alias("_first"))
+    then = month(F.col("txn_date"))
+    known = history.filter(F.col("code").isin("P", "S"))
+    if span is not None:
+        low, high = map(month, span)
+        known = known.filter(then.between(low - 12 * years, high - 12) & (F.pmod(high - then, F.lit(12)) <= high - low))
+    traded = known.groupBy("security_id", "filer").agg(F.collect_set(then).alias("_months"))
+    first = history.groupBy("security_id").agg(F.min("txn_date").alias("_first"))
     joined = txns.join(traded, ["security_id", "filer"], "left").join(first, "security_id")
-    now = month(F.col("txn_date"))
     known = F.coalesce("_months", F.array().cast("array<int>"))
-    routine = F.forall(F.array(*(now - 12 * k for k in range(1, years + 1))), lambda m: F.array_contains(known, m))
+    routine = F.forall(F.array(*(then - 12 * k for k in range(1, years + 1))), lambda m: F.array_contains(known, m))
     covered = F.col("_first") <= F.add_months(F.trunc("txn_date", "month"), -12 * years)
     return joined.withColumn("tag", F.when(routine, "ROUTINE").when(covered, "OPPORTUNISTIC").otherwise("UNKNOWN")).drop("_months", "_first")
 
 
-def buyer_clusters(txns: DataFrame, days: int = 14) -> DataFrame:
+def buyer_clusters(txns: DataFrame, days: int = 14, history: DataFrame | None = None, span: tuple[Column, Column] | None = None) -> DataFrame:
     """txns with cluster: distinct buyers within days of the trade, either way; 0 where its day or security is null.
 
     A buyer comes in days before a purchase and goes out days after it, or where the next one comes in; a running sum
-    over a security's days counts who is in. No trade meets a buyer, and no set of buyers is made.
+    over a security's days counts who is in. No trade meets a buyer, and no set of buyers is made. history has all
+    trades that count, txns themselves by default; of it only those within days of span, if all of txns have their day in span.
     """
-    bought = txns.filter((F.col("code") == "P") & F.col("acquired")).filter("filer is not null")
+    bought = (txns if history is None else history).filter((F.col("code") == "P") & F.col("acquired")).filter("filer is not null")
+    if span is not None:
+        bought = bought.filter(F.col("txn_date").between(F.date_sub(span[0], days), F.date_add(span[1], days)))
     bought = bought.select("security_id", "filer", F.unix_date("txn_date").alias("_day")).filter("_day is not null").distinct()
     bought = bought.withColumn("_next", F.lead("_day").over(Window.partitionBy("security_id", "filer").orderBy("_day")))
     moves = F.array(F.struct((F.col("_day") - days).alias("_day"), F.lit(1).alias("_n")), F.struct(F.least(F.col("_day") + days + 1, F.col("_next") - days).alias("_day"), F.lit(-1).alias("_n")))

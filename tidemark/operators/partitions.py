@@ -6,7 +6,7 @@ each a report of bounded length, meet in one row, from which the agents' texts a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,8 +71,15 @@ def feature_lines(universe: DataFrame, names: Sequence[str]) -> DataFrame:
     return long.select("security_id", "n", F.concat_ws("\t", "name", *(two_figures(F.col(c)) for c in ("value", "z", "pct"))).alias("cells"))
 
 
-def feature_table(lines: DataFrame, section: str, prefix: str) -> DataFrame:
-    return bodies(lines, section, F.concat(F.lit(prefix + "_"), F.col("n"), F.lit("\t"), F.col("cells")))
+def feature_table(lines: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:
+    """A table for each section from the same lines, under the section's prefix."""
+    packed = lines.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("_rows"))
+
+    def body(section: str, prefix: str) -> Column:
+        shown = F.transform("_rows", lambda r: F.concat(F.lit(prefix + "_"), r.n.cast("string"), F.lit("\t"), r.cells))
+        return F.struct(F.lit(section).alias("section"), F.concat_ws("\n", F.lit(HEADERS[section]), F.array_join(shown, "\n")).alias("body"))
+
+    return packed.select("security_id", F.inline(F.array(*(body(s, p) for s, p in prefixes.items()))))
 
 
 def history_table(facts: DataFrame, as_of: Column) -> DataFrame:
@@ -82,11 +89,13 @@ def history_table(facts: DataFrame, as_of: Column) -> DataFrame:
 
 
 def insider_table(entities: DataFrame, txns: DataFrame, as_of: Column, days: int = 180, most: int = 25, cluster_days: int = 14) -> DataFrame:
-    """The newest trades of the last days; tags and clusters are judged on all that is visible."""
-    visible = fu.buyer_clusters(fu.trade_tags(txns.filter(F.col("available_at") <= as_of)), cluster_days)
-    age = F.datediff(F.to_date(as_of), "txn_date")
+    """The newest trades of the last days; tags and clusters are judged on all that is visible, once they are chosen."""
+    visible = txns.filter(F.col("available_at") <= as_of)
+    today = F.to_date(as_of)
+    span = (F.date_sub(today, days), today)
     newest = [F.desc("available_at"), F.desc("accession"), F.desc("seq")]
-    recent = first_by(visible.filter(age.between(0, days)), ["security_id"], newest, most)
+    recent = first_by(visible.filter(F.datediff(today, "txn_date").between(0, days)), ["security_id"], newest, most)
+    recent = fu.trade_tags(fu.buyer_clusters(recent, cluster_days, visible, span), history=visible, span=span)
     rows = numbered(recent.join(entities.select("security_id", "cik", "adv30_usd"), "security_id"), newest)
     buy, sell = (F.col("code") == "P") & F.col("acquired"), (F.col("code") == "S") & ~F.col("acquired")
     flag = lambda c: c.cast("int")
@@ -100,8 +109,13 @@ def insider_table(entities: DataFrame, txns: DataFrame, as_of: Column, days: int
     return bodies(rows, "insiders", line)
 
 
-def news_table(news: DataFrame, as_of: Column, mask: Callable[[Column], Column], most: int = 400) -> DataFrame:
-    """Headlines and summaries without names, amounts and dates; news has a row for each (security_id, item)."""
+def news_table(news: DataFrame, as_of: Column, mask: Callable[[Column], Column], opening: Callable[[Column, int], Column] | None = None, most: int = 400) -> DataFrame:
+    """Headlines and summaries without names, amounts and dates; news has a row for each (security_id, item).
+
+    opening gives as much of a summary's start as what is shown of it rests on; without it summaries are read to their ends.
+    """
+    if opening is not None:
+        news = news.withColumn("summary", opening(F.col("summary"), most))
     rows = numbered(fu.visible_news(news, as_of, text.is_analyst_item(F.col("headline"))), [F.desc("event_time"), F.desc("item_id")])
     shown = lambda c, n=None: text.clean(text.scrub(mask(F.coalesce(F.col(c), F.lit("")))), n)
     return bodies(rows, "news", text.tsv_line(F.concat(F.lit("NEWS_"), "n"), dates.relative_days(F.col("event_time"), as_of), shown("headline"), shown("summary", most)))
@@ -116,7 +130,7 @@ def regime_body(regime: DataFrame) -> Column:
     return F.coalesce(body.select(F.max("body")).scalar(), F.lit(HEADERS["regime"]))
 
 
-def agent_partitions(as_of: Column, entities: DataFrame, universe: DataFrame, facts: DataFrame, txns: DataFrame, news: DataFrame, regime: DataFrame, mask: Callable[[Column], Column], fundamental: Sequence[str], price: Sequence[str]) -> DataFrame:
+def agent_partitions(as_of: Column, entities: DataFrame, universe: DataFrame, facts: DataFrame, txns: DataFrame, news: DataFrame, regime: DataFrame, mask: Callable[[Column], Column], fundamental: Sequence[str], price: Sequence[str], opening: Callable[[Column, int], Column] | None = None) -> DataFrame:
     """agent, security_id, entity_token, as_of, text, input_hash, evidence of every entity.
 
     entities (security_id, entity_token, cik, sector, mcap_tier, adv30_usd) has one row for each security; one
@@ -128,8 +142,8 @@ def agent_partitions(as_of: Column, entities: DataFrame, universe: DataFrame, fa
     ranked = universe.select("security_id", "sector", "values", "included").join(own, "security_id", "full_outer")
     low, high = (feature_lines(ranked, names).join(own, "security_id", "left_semi") for names in (fundamental, price))
     tables = [
-        feature_table(low, "summary", "FIN_SUM"), feature_table(high, "technical", "TECH"), feature_table(high, "market", "MACRO_P"),
-        history_table(facts, as_of), insider_table(entities, txns, as_of), news_table(news, as_of, mask),
+        feature_table(low, {"summary": "FIN_SUM"}), feature_table(high, {"technical": "TECH", "market": "MACRO_P"}),
+        history_table(facts, as_of), insider_table(entities, txns, as_of), news_table(news, as_of, mask, opening),
     ]
     long = tables[0]
     for table in tables[1:]:

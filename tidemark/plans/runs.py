@@ -37,7 +37,7 @@ def agent_partitions(spark, sf_dir):
     news = d.select(owner(F.col("doc_id")), F.col("doc_id").cast("string").alias("item_id"), F.substring_index("text", "\n", 1).alias("headline"), F.col("text").alias("summary"), day.alias("event_time"), day.alias("available_at"))
     regime = spark.createDataFrame([("spy_return_1m", 0.0123), ("yield_10y_pct", None)], "feature string, value double")
     masker = text.Masker([("ENTITY_01", "name", "for the")])
-    return partitions.agent_partitions(F.to_timestamp(F.lit("1998-07-01 00:00:00")), entities, universe, facts, txns, news, regime, masker.column, FUNDAMENTAL, PRICE).select("agent", "security_id", "text", "input_hash", F.size("evidence").alias("cited"))
+    return partitions.agent_partitions(F.to_timestamp(F.lit("1998-07-01 00:00:00")), entities, universe, facts, txns, news, regime, masker.column, FUNDAMENTAL, PRICE, masker.opening).select("agent", "security_id", "text", "input_hash", F.size("evidence").alias("cited"))
 
 
 @query("alias_list", "SELECT * FROM (SELECT s_suppkey AS security_id, 'name' AS kind, s_name || ' Holdings Inc.' AS text FROM supplier UNION ALL SELECT s_suppkey, 'name', s_name || ' Holdings' FROM supplier UNION ALL SELECT s_suppkey, 'ticker', 'T' || s_suppkey FROM supplier UNION ALL SELECT s_suppkey, 'cik', CAST(1000 + s_nationkey AS VARCHAR) FROM supplier UNION ALL SELECT s_suppkey, 'brand', n_name || ' Best' FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
