@@ -219,9 +219,35 @@ def test_insider_trades_are_chosen_before_they_are_judged(spark):
     tags = {r.tag for r in got.collect()}
     assert tags >= {"ROUTINE", "OPPORTUNISTIC"}
 
+    # a span of more than a year
+    chosen, span = visible.filter(F.datediff(today, "txn_date").between(0, 500)), (F.date_sub(today, 500), today)
+    want = fundamentals.trade_tags(visible, 2).join(chosen.filter("security_id is not null").select("accession"), "accession").select("accession", "tag")
+    got = fundamentals.trade_tags(chosen, 2, visible, span).select("accession", "tag")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
     entities = spark.createDataFrame([(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0)], "security_id int, cik int, adv30_usd double")
     full = txns.withColumns({"role": F.lit("officer"), "officer_title": F.lit("CEO"), "shares": F.lit(1.0), "price": F.lit(1.0), "post_holdings": F.lit(1.0), "is_10b5_1": F.lit(False)})
     plan = partitions.insider_table(entities, full, F.lit(now))._jdf.queryExecution().optimizedPlan().toString()
-    # months are collected of some trades only, and no window orders more than the newest trades or buyers near them
-    months = plan[plan.index("collect_set"):].splitlines()
-    assert any("pmod" in line for line in months[:4])
+    # no months are collected of all trades
+    assert "collect_set" not in plan and "bit_or" in plan
+
+
+def test_texts_of_revisions_out_of_the_last_days_are_not_read(spark):
+    from tidemark.operators import partitions
+
+    seen, now = spark.sparkContext.accumulator(0), dt.datetime(2024, 3, 1)
+
+    def opening(c, n):
+        @F.pandas_udf("string")
+        def counted(values):
+            seen.add(int(values.notna().sum()))
+            return values
+
+        return counted(c)
+
+    ago = lambda d: now - dt.timedelta(days=d)
+    rows = [(1, "a", "h a", "s a", ago(1), ago(1)), (1, "b", "h b", "s b", ago(2), ago(2)), (1, "b", "h old", "s old", ago(50), ago(1)), (1, "c", None, None, ago(3), ago(3)), (1, "d", "h d", "s d", ago(90), ago(90))]
+    news = spark.createDataFrame(rows, "security_id int, item_id string, headline string, summary string, event_time timestamp, available_at timestamp")
+    body = partitions.news_table(news, F.lit(now), lambda c: c, opening).collect()[0].body
+    # an item without a headline can't be told from an analyst's, and isn't shown
+    assert body.splitlines()[1:] == ["NEWS_1\tt-1d\th a\ts a"] and seen.value == 2

@@ -121,22 +121,32 @@ def trade_tags(txns: DataFrame, years: int = 3, history: DataFrame | None = None
     security's history is too short to tell, else OPPORTUNISTIC.
 
     history has all trades by which txns are judged, txns themselves by default. Of it only the months that lie years before
-    those of span are looked at, if all of txns have their day in span.
+    those of span, which is of some decades at most, are looked at, if all of txns have their day in span: a bit for each year.
     """
     history = txns if history is None else history
     month = lambda d: F.year(d) * 12 + F.month(d)
-    then = month(F.col("txn_date"))
+    now = month(F.col("txn_date"))
     known = history.filter(F.col("code").isin("P", "S"))
-    if span is not None:
+    key = ["security_id", "filer"]
+    if span is None:
+        traded = known.groupBy(*key).agg(F.collect_set(now).alias("_months"))
+        months = F.coalesce("_months", F.array().cast("array<int>"))
+        routine = F.forall(F.array(*(now - 12 * k for k in range(1, years + 1))), lambda m: F.array_contains(months, m))
+    else:
         low, high = map(month, span)
-        known = known.filter(then.between(low - 12 * years, high - 12) & (F.pmod(high - then, F.lit(12)) <= high - low))
-    traded = known.groupBy("security_id", "filer").agg(F.collect_set(then).alias("_months"))
+        turn = F.pmod(high - now, F.lit(12))
+        back = F.floor((high - now) / 12).cast("int")
+        shift = lambda bits, by: F.call_function("shiftleft", F.lit(bits).cast("long"), by)
+        key.append("_turn")
+        known = known.filter(now.between(low - 12 * years, high - 12) & (turn <= high - low))
+        traded = known.withColumn("_turn", turn).groupBy(*key).agg(F.bit_or(shift(1, back)).alias("_months"))
+        txns = txns.withColumn("_turn", turn)
+        asked = shift(2**years - 1, back + 1)
+        routine = F.coalesce("_months", F.lit(0)).bitwiseAND(asked) == asked
     first = history.groupBy("security_id").agg(F.min("txn_date").alias("_first"))
-    joined = txns.join(traded, ["security_id", "filer"], "left").join(first, "security_id")
-    known = F.coalesce("_months", F.array().cast("array<int>"))
-    routine = F.forall(F.array(*(then - 12 * k for k in range(1, years + 1))), lambda m: F.array_contains(known, m))
+    joined = txns.join(traded, key, "left").join(first, "security_id")
     covered = F.col("_first") <= F.add_months(F.trunc("txn_date", "month"), -12 * years)
-    return joined.withColumn("tag", F.when(routine, "ROUTINE").when(covered, "OPPORTUNISTIC").otherwise("UNKNOWN")).drop("_months", "_first")
+    return joined.withColumn("tag", F.when(routine, "ROUTINE").when(covered, "OPPORTUNISTIC").otherwise("UNKNOWN")).drop("_months", "_first", "_turn")
 
 
 def buyer_clusters(txns: DataFrame, days: int = 14, history: DataFrame | None = None, span: tuple[Column, Column] | None = None) -> DataFrame:
@@ -170,8 +180,13 @@ def volume_intensity(shares: Column, price: Column, adv: Column) -> Column:
     return F.when(adv > 0, shares * price / adv)
 
 
+def in_news(as_of: Column, days: int = 30) -> Column:
+    """Whether an item is of the last days."""
+    return (F.col("event_time") <= as_of) & (F.col("event_time") >= as_of - F.expr(f"interval {days} days"))
+
+
 def visible_news(news: DataFrame, as_of: Column, analyst: Column, days: int = 30, most: int = 10) -> DataFrame:
     """Each item's newest visible revision, of the last days, without analyst items, the newest most of a security."""
     latest = first_by(news.filter(F.col("available_at") <= as_of), ["security_id", "item_id"], [F.desc("available_at")])
-    recent = latest.filter((F.col("event_time") <= as_of) & (F.col("event_time") >= as_of - F.expr(f"interval {days} days")) & ~analyst)
+    recent = latest.filter(in_news(as_of, days) & ~analyst)
     return first_by(recent, ["security_id"], [F.desc("event_time"), F.desc("item_id")], most)

@@ -114,6 +114,8 @@ def news_table(news: DataFrame, as_of: Column, mask: Callable[[Column], Column],
 
     opening gives as much of a summary's start as what is shown of it rests on; without it summaries are read to their ends.
     """
+    # a revision that takes an item out of the last days counts, but its texts aren't shown
+    news = news.withColumns({c: F.when(fu.in_news(as_of), F.col(c)) for c in ("headline", "summary")})
     if opening is not None:
         news = news.withColumn("summary", opening(F.col("summary"), most))
     rows = numbered(fu.visible_news(news, as_of, text.is_analyst_item(F.col("headline"))), [F.desc("event_time"), F.desc("item_id")])
